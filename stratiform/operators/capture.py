@@ -14,7 +14,7 @@ DELETE, INSERT, BEFORE, AFTER = 1, 2, 3, 4
 
 
 def read_changes(df: DataFrame, seq_col: str, low, high) -> DataFrame:
-    """The changes after ``low`` up to and including ``high``."""
+    """The changes after ``low`` up to and including ``high`` (values or columns)."""
     return df.filter((F.col(seq_col) > F.lit(low)) & (F.col(seq_col) <= F.lit(high)))
 
 

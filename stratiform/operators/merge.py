@@ -28,11 +28,11 @@ def unique_or_fail(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """
     packed = pack(df, keys, name)
     grouped = packed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.first(name).alias(name)
+        F.count(F.lit(1)).alias("_copies"), F.first(name).alias(name)
     )
     where = F.concat_ws(",", *[F.col(k).cast("string") for k in keys])
     fail = F.raise_error(F.concat(F.lit("duplicate merge key: "), where))
-    checked = F.when(F.col("_n") > 1, fail.cast(grouped.schema[name].dataType)).otherwise(
+    checked = F.when(F.col("_copies") > 1, fail.cast(grouped.schema[name].dataType)).otherwise(
         F.col(name)
     )
     return grouped.select(*keys, checked.alias(name))

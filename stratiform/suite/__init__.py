@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,9 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
+# The modules that register queries.
+FAMILIES = ("marts", "relational", "quality", "history", "profiling", "texts")
+
 
 class Tables:
     """The test tables of one folder, as attributes."""
@@ -67,7 +71,6 @@ def query(sql: str | None = None, *, headline: bool = False):
 
 
 def load() -> dict[str, Query]:
-    from . import governance, history, io, marts, profiling, quality, relational, streams, texts
-
-    _ = (governance, history, io, marts, profiling, quality, relational, streams, texts)
+    for name in FAMILIES:
+        import_module(f"{__name__}.{name}")
     return REGISTRY

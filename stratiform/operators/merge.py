@@ -51,9 +51,12 @@ def upsert(
     incoming: DataFrame,
     keys: Sequence[str],
     hash_col: str = "_row_hash",
+    newest_by: Sequence[str] = (),
 ) -> DataFrame:
     """Insert new keys; replace rows whose hash differs; keep everything else as it is.
 
+    With ``newest_by`` a row that is older than the table's, in these columns, is ignored.
+
     One full outer join on the key.  As in a SQL merge a NULL key matches nothing: such
     rows bypass the join, which also keeps them from piling up in one partition.
     """
@@ -65,6 +68,9 @@ def upsert(
     keep = F.col("_t").isNotNull() & (
         F.col("_s").isNull() | F.col(f"_s.{hash_col}").eqNullSafe(F.col(f"_t.{hash_col}"))
     )
+    if newest_by:
+        age = lambda side: F.struct(*[F.col(f"{side}.{c}") for c in newest_by])
+        keep = keep | (F.col("_t").isNotNull() & (age("_t") > age("_s")))
     merged = joined.select(F.when(keep, F.col("_t")).otherwise(F.col("_s")).alias("_r"))
     loose = target.filter(~present).unionByName(incoming.filter(~present))
     return merged.select("_r.*").unionByName(loose)

@@ -67,6 +67,7 @@ def upsert_buckets(
     *,
     buckets: int,
     hash_col: str = "_row_hash",
+    newest_by: Sequence[str] = (),
 ) -> None:
     """Upsert into a table laid out by key hash, rewriting only the buckets with changes.
 
@@ -80,22 +81,16 @@ def upsert_buckets(
         write_table(src, path, [BUCKET])
         return
     table = spark.read.parquet(path)
-    known = table.select(*keys, BUCKET, F.col(hash_col).alias("_old"))
-    fresh = src.join(
-        known.withColumnRenamed(hash_col, "_old"),
-        [
-            *[src[k] == known[k] for k in keys],
-            src[BUCKET] == known[BUCKET],
-            src[hash_col].eqNullSafe(known["_old"]),
-        ],
-        "left_anti",
-    )
+    known = table.select(*keys, BUCKET, hash_col)
+    same = [src[c] == known[c] for c in (*keys, BUCKET)]
+    same.append(src[hash_col].eqNullSafe(known[hash_col]))
+    fresh = src.join(known, same, "left_anti")
     touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]
     if not touched:
         return
     old = table.filter(F.col(BUCKET).isin(touched)).select(*src.columns)
     new = src.filter(F.col(BUCKET).isin(touched))
-    overwrite_partitions(upsert(old, new, keys, hash_col), path, [BUCKET])
+    overwrite_partitions(upsert(old, new, keys, hash_col, newest_by), path, [BUCKET])
 
 
 # --- snapshots ------------------------------------------------------------------------------

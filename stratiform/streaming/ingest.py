@@ -84,7 +84,7 @@ def upsert_stream(
 ) -> None:
     """Upsert each micro-batch into a bucketed table, newest row per key by ``order``.
 
-    A replayed batch finds its rows in the table already and writes nothing, so the result
+    Rows that arrive late do not replace newer ones, whatever batch they come in.  A replayed batch finds its rows in the table already and writes nothing, so the result
     does not depend on how often a batch runs.  Only buckets with changes are rewritten.
     """
 
@@ -94,7 +94,7 @@ def upsert_stream(
             batch, keys, [F.desc(c) for c in order], [F.desc(c) for c in batch.columns]
         )
         rows = newest.withColumn("_row_hash", row_hash(newest.columns))
-        upsert_buckets(spark, path, rows, keys, buckets=buckets)
+        upsert_buckets(spark, path, rows, keys, buckets=buckets, newest_by=order)
 
     run_available(stream, each, checkpoint)
 
@@ -103,6 +103,18 @@ def read_upserted(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop(BUCKET)
 
 
+def evaluate_stream(
+    stream: DataFrame, rules: Sequence[Rule], path: str, checkpoint: str, tables=None
+) -> None:
+    """Write the rows of each micro-batch with the rules they fail (``_failed``)."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = evaluate(batch, rules, tables)
+        rows.write.mode("overwrite").parquet(f"{path}/_stream_batch={number}")
+
+    run_available(stream, each, checkpoint)
+
+
 def conform_stream(
     stream: DataFrame,
     rules: Sequence[Rule],

@@ -17,7 +17,9 @@ TABLES = (
 ).split()
 
 # The modules that register queries.
-FAMILIES = ("marts", "relational", "quality", "history", "profiling", "texts")
+FAMILIES = (
+    "marts", "relational", "quality", "history", "profiling", "texts", "governance", "io", "streams",
+)
 
 
 class Tables:

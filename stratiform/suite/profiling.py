@@ -121,6 +121,8 @@ _EDGES = (
     ("nation", "n_nationkey", "supplier", "s_nationkey", "nationkey"),
     ("orders", "o_orderkey", "lineitem", "l_orderkey", "orderkey"),
     ("part", "p_partkey", "lineitem", "l_partkey", "partkey"),
+    ("customer", "c_custkey", "orders", "o_custkey", "custkey"),
+    ("supplier", "s_suppkey", "lineitem", "l_suppkey", "suppkey"),
 )
 
 
@@ -137,7 +139,7 @@ FROM (SELECT DISTINCT {pk} AS pk FROM {p_}) a FULL JOIN
     headline=True,
 )
 def join_map(t: Tables) -> DataFrame:
-    return p.join_map(_keyed(t), suffix="key").filter("from_table <> 'supplier'")
+    return p.join_map(_keyed(t), suffix="key")
 
 
 @query(

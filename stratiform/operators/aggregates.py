@@ -117,7 +117,7 @@ def needs_rescan(tables: Mapping[str, DataFrame], version: str) -> DataFrame:
 def hash_collision_rate(df: DataFrame, hash_col: str = "_row_hash", limit: float = 0.1):
     """Share of rows whose hash repeats an earlier one, and whether it stays below ``limit``."""
     per_hash = df.groupBy(hash_col).agg(F.count(F.lit(1)).alias("_n"))
-    rate = 1 - F.count(hash_col) / F.sum("_n")
+    rate = 1 - F.try_divide(F.count(hash_col), F.sum("_n"))
     return per_hash.agg(
         F.sum("_n").alias("n_rows"), F.count(hash_col).alias("n_hashes"), rate.alias("dup_rate")
     ).withColumn("passed", F.col("dup_rate") < limit)
@@ -197,6 +197,8 @@ def psi(
     bins = binned(baseline, "n_base").join(binned(current, "n_cur"), "bin", "full_outer")
     bins = bins.fillna(0, ["n_base", "n_cur"])
     sums = bins.agg(F.sum("n_base").alias("b"), F.sum("n_cur").alias("c"))
-    p = F.greatest(F.col("n_base").cast("double"), F.lit(0.5)) / sums.select("b").scalar()
-    q = F.greatest(F.col("n_cur").cast("double"), F.lit(0.5)) / sums.select("c").scalar()
-    return bins.select("bin", "n_base", "n_cur", ((q - p) * F.log(q / p)).alias("psi"))
+    p = F.greatest(F.col("n_base").cast("double"), F.lit(0.5))
+    q = F.greatest(F.col("n_cur").cast("double"), F.lit(0.5))
+    p = F.try_divide(p, sums.select("b").scalar())
+    q = F.try_divide(q, sums.select("c").scalar())
+    return bins.select("bin", "n_base", "n_cur", ((q - p) * (F.log(q) - F.log(p))).alias("psi"))

@@ -9,16 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..spec import BRONZE_META
+from ..spec import BRONZE_META, struct
 from .projections import typed_null
 
 # Layout of the drift log and of the quarantine table.
-CHANGE_LOG = T.StructType.fromDDL(
-    "table_name STRING, change_type STRING, columns_affected STRING, detected_at TIMESTAMP"
+CHANGE_LOG = struct(
+    "table_name string, change_type string, columns_affected string, detected_at timestamp"
 )
-QUARANTINE = T.StructType.fromDDL(
-    "batch_id STRING, table_name STRING, change_type STRING, columns_affected STRING, "
-    "quarantined_at TIMESTAMP, resolved_by STRING, resolved_at TIMESTAMP, resolution_note STRING"
+QUARANTINE = struct(
+    "batch_id string, table_name string, change_type string, columns_affected string, "
+    "quarantined_at timestamp, resolved_by string, resolved_at timestamp, resolution_note string"
 )
 ADDITIVE, BREAKING = "ADDITIVE", "BREAKING"
 IGNORED = {*BRONZE_META, "_schema_changes"}

@@ -6,17 +6,17 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.masks import MASKS
 from ..session import scratch_path
+from ..spec import struct
 
 # Layout of the audit log.
-AUDIT = T.StructType.fromDDL(
-    "run_id STRING, use_case_name STRING, job_name STRING, stage STRING, table_name STRING, "
-    "started_at TIMESTAMP, completed_at TIMESTAMP, rows_read BIGINT, rows_written BIGINT, "
-    "rows_rejected BIGINT, batch_id STRING, status STRING, error_message STRING, "
-    "triggered_by STRING, dq_rule_version STRING, source_type STRING, notes STRING"
+AUDIT = struct(
+    "run_id string, use_case_name string, job_name string, stage string, table_name string, "
+    "started_at timestamp, completed_at timestamp, rows_read long, rows_written long, "
+    "rows_rejected long, batch_id string, status string, error_message string, "
+    "triggered_by string, dq_rule_version string, source_type string, notes string"
 )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from ..spec import HISTORY_META, OPEN_END
 from .merge import all_present, pack, same_layout, unique_or_fail
 from .ordered import carry
@@ -96,13 +97,16 @@ def history_from_events(
     """Intervals from an event list: a version starts where ``attrs`` change and ends where
     the next one starts (NULL while open).
 
-    ``slice_by`` maps the time column to its slice (see :mod:`ordered`).
+    ``slice_by`` maps the time column to its slice (see :mod:`ordered`).  The changes are
+    written to the shared folder before their ends are looked up: the look-ahead reads them
+    twice and must not repeat the look-back over all events.
     """
     state = F.struct(*[F.col(a) for a in attrs])
     order = [ts, *tie_break]
     rows = events.select(*dict.fromkeys([*keys, *order, *attrs]))
     seen = carry(rows, keys, order, state, "_before", slice_by=slice_by(F.col(ts)))
     changes = seen.filter(~F.col("_before").eqNullSafe(state)).drop("_before")
+    changes = materialise(changes, "changes")
     ended = carry(
         changes, keys, order, F.col(ts), "_end", slice_by=slice_by(F.col(ts)), backwards=True
     )

@@ -159,7 +159,8 @@ def as_of_join(
     column to its slice, e.g. ``lambda c: F.date_trunc("month", c)``.
     """
     version = F.struct(F.col(end).alias("_to"), *[F.col(c) for c in columns])
-    marks = history.select(
+    # A NULL key matches nothing.
+    marks = history.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("_key"),
         F.col(start).cast("timestamp").alias("_at"),
         F.lit(0).alias("_kind"),

@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SLICE, _VAL, _IN, _CARRY = "_slice", "_carry_value", "_carry_inside", "_carry_before"
+_PART, _SLICE, _VAL = "_carry_part", "_slice", "_carry_value"
+_IN, _CARRY = "_carry_inside", "_carry_last"
 
 
 def carry(
@@ -33,38 +34,30 @@ def carry(
     ``slice_by`` must not decrease along ``order``.  ``inclusive`` lets a row see its own
     value; ``backwards`` looks at later rows instead (a lead).  ``order`` must be total.
     """
-    work = df.withColumns({_SLICE: slice_by, _VAL: value})
+    # Key and slice as one struct: NULLs in it compare as equal, and window, aggregate and
+    # join all use the same partitioning, so the rows are exchanged once.
+    work = df.withColumns({_PART: F.struct(*keys, slice_by.alias(_SLICE)), _VAL: value})
     asc = [F.col(c).desc() if backwards else F.col(c).asc() for c in order]
     inside = (
-        Window.partitionBy(*keys, _SLICE)
+        Window.partitionBy(_PART)
         .orderBy(*asc)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    rows = work.withColumn(_IN, F.last(_VAL, ignorenulls=True).over(inside))
+    rows = work.withColumn(_IN, F.last(_VAL, ignorenulls=True).over(inside)).drop(_VAL)
 
     rank = F.when(F.col(_VAL).isNotNull(), F.struct(*order))
     last = F.min_by(_VAL, rank) if backwards else F.max_by(_VAL, rank)
+    position = F.col(f"{_PART}.{_SLICE}")
     across = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col(_SLICE).desc() if backwards else F.col(_SLICE).asc())
+        Window.partitionBy(*[F.col(_PART)[k] for k in keys])
+        .orderBy(position.desc() if backwards else position.asc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    key_names = [f"_k{i}" for i in range(len(keys))]
     per_slice = (
-        work.groupBy(*keys, _SLICE)
+        work.groupBy(_PART)
         .agg(last.alias(_CARRY))
         .withColumn(_CARRY, F.last(_CARRY, ignorenulls=True).over(across))
-        .filter(F.col(_CARRY).isNotNull())
-        .select(
-            *[F.col(k).alias(n) for k, n in zip(keys, key_names)],
-            F.col(_SLICE).alias("_k_slice"),
-            _CARRY,
-        )
-    )
-    on = F.col(_SLICE).eqNullSafe(F.col("_k_slice"))
-    for k, n in zip(keys, key_names):
-        on = on & F.col(k).eqNullSafe(F.col(n))
-    joined = rows.join(per_slice, on, "left")
-    return joined.withColumn(name, F.coalesce(_IN, _CARRY)).drop(
-        _SLICE, _VAL, _IN, _CARRY, "_k_slice", *key_names
+        .select(F.col(_PART).alias("_before"), _CARRY)
     )
+    joined = rows.join(per_slice, rows[_PART] == per_slice["_before"], "left")
+    return joined.withColumn(name, F.coalesce(_IN, _CARRY)).drop(_PART, _IN, _CARRY, "_before")

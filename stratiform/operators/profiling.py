@@ -31,7 +31,7 @@ def _basics(df: DataFrame, fields: Sequence[T.StructField], distinct) -> DataFra
             F.lit(f.name).alias("column_name"),
             F.lit(f.dataType.simpleString()).alias("data_type"),
             total.alias("n_rows"),
-            F.round(100.0 * (total - F.count(f.name)) / total, 1).alias("null_pct"),
+            F.round(F.try_divide(100.0 * (total - F.count(f.name)), total), 1).alias("null_pct"),
         ]
         for name, fn in (("min_val", F.min), ("max_val", F.max)):
             v = fn(f.name).cast("string") if _numeric(f) else F.lit(None).cast("string")
@@ -169,7 +169,7 @@ def join_map(tables: Mapping[str, DataFrame], suffix: str = "_id") -> DataFrame:
                 F.lit(child).alias("to_table"),
                 F.lit(key).alias("join_key"),
                 "child_keys",
-                F.round(F.col("_hit") / F.col("child_keys"), 6).alias("containment"),
+                F.round(F.try_divide("_hit", "child_keys"), 6).alias("containment"),
                 F.concat(F.lit("1:"), low, many).alias("cardinality"),
             )
         )

@@ -21,22 +21,41 @@ def _unit(vectors) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _best(query_ids, query_unit, item_ids, vectors, k: int) -> pd.DataFrame:
-    """The k best items of one batch for every query."""
-    cos = np.round(query_unit @ _unit(vectors).T, RANK_DIGITS)
+def _best(query_ids, scores: np.ndarray, item_ids, k: int, matched: bool = False) -> pd.DataFrame:
+    """The k best items of a batch for every query; ``matched`` leaves out zero scores."""
     ids = np.asarray(item_ids)
     parts = []
-    for q, scores in zip(query_ids, cos):
-        if len(scores) > k:
-            kth = np.partition(scores, -k)[-k]
-            pick = np.flatnonzero(scores >= kth)
-        else:
-            pick = np.arange(len(scores))
-        pick = pick[np.lexsort((ids[pick], -scores[pick]))][:k]
-        parts.append(pd.DataFrame({"_q": q, "_i": ids[pick], "_c": scores[pick]}))
+    for q, row in zip(query_ids, scores):
+        pick = np.flatnonzero(row > 0) if matched else np.arange(len(row))
+        if len(pick) > k:
+            kth = np.partition(row[pick], -k)[-k]
+            pick = pick[row[pick] >= kth]
+        pick = pick[np.lexsort((ids[pick], -row[pick]))][:k]
+        parts.append(pd.DataFrame({"_q": q, "_i": ids[pick], "_c": row[pick]}))
     return pd.concat(parts, ignore_index=True)
 
 
+def _nearest(query_ids, query_unit, item_ids, vectors, k: int) -> pd.DataFrame:
+    cos = np.round(query_unit @ _unit(vectors).T, RANK_DIGITS)
+    return _best(query_ids, cos, item_ids, k)
+
+
+def _ranked(best: DataFrame, k: int) -> DataFrame:
+    """The k best per query out of the batches' best."""
+    w = Window.partitionBy("_q").orderBy(F.desc("_c"), F.asc("_i"))
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _triples(query_type: T.DataType, item_type: T.DataType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("_q", query_type),
+            T.StructField("_i", item_type),
+            T.StructField("_c", T.DoubleType()),
+        ]
+    )
+
+
 def vector_topk(
     queries: DataFrame,
     items: DataFrame,
@@ -62,13 +81,7 @@ def vector_topk(
     q = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_v"))
     i = items.select(F.col(item_id).alias("_i"), F.col(vector).alias("_v"))
     i = i.filter(F.col("_v").isNotNull())
-    out = T.StructType(
-        [
-            T.StructField("_q", q.schema["_q"].dataType),
-            T.StructField("_i", i.schema["_i"].dataType),
-            T.StructField("_c", T.DoubleType()),
-        ]
-    )
+    out = _triples(q.schema["_q"].dataType, i.schema["_i"].dataType)
     head = q.limit(max_queries + 1).collect()
     if len(head) <= max_queries:
         if head:
@@ -79,7 +92,7 @@ def vector_topk(
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b) and ids:
-                    yield _best(ids, unit, b["_i"], b["_v"], k)
+                    yield _nearest(ids, unit, b["_i"], b["_v"], k)
 
         near = i.mapInPandas(scan, out)
     else:
@@ -100,12 +113,10 @@ def vector_topk(
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame({"_q": a["_q"][:0], "_i": b["_i"][:0], "_c": []})
-            return _best(list(a["_q"]), _unit(a["_v"]), b["_i"], b["_v"], k)
+            return _nearest(list(a["_q"]), _unit(a["_v"]), b["_i"], b["_v"], k)
 
         near = left.cogroup(right).applyInPandas(meet, out)
-    w = Window.partitionBy("_q").orderBy(F.desc("_c"), F.asc("_i"))
-    ranked = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select(
+    return _ranked(near, k).select(
         F.col("_q").alias(query_id),
         "rank",
         F.col("_i").alias(item_id),
@@ -140,39 +151,96 @@ def bm25(
     text: str,
     k1: float = 1.2,
     b: float = 0.75,
+    max_queries: int = 4096,
 ) -> DataFrame:
-    """(query_id, rank, doc_id, score): the ``k`` best documents per query by BM25.
+    """(query_id, rank, doc_id, score): the ``k`` best documents per query by BM25, exact.
 
-    Only terms that some query asks for are counted and shuffled.  Term frequencies are
-    combined map-side, so a very common term does not gather in one task.
+    Up to ``max_queries`` queries (the number is checked) travel to the tasks.  One pass
+    counts how many documents hold each of their terms, a second scores the documents
+    where they lie and keeps the ``k`` best per batch; neither the texts nor the matches
+    are shuffled.  More queries are answered by a join over term frequencies.
     """
-    terms = queries.select(query_id, F.explode(F.array_distinct(words(F.col(text)))).alias("_t"))
-    wanted = terms.select("_t").distinct()
-    bag = docs.select(doc_id, words(F.col(text)).alias("_w"))
-    sizes = bag.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_w")).alias("avg_len"))
+    head = queries.select(query_id, words(F.col(text)).alias("_w")).limit(max_queries + 1).collect()
+    bag = docs.select(F.col(doc_id).alias("_i"), words(F.col(text)).alias("_w"))
+    if len(head) > max_queries:
+        scored = _bm25_join(bag, queries, query_id, text, k1, b)
+    else:
+        out = _triples(queries.schema[query_id].dataType, docs.schema[doc_id].dataType)
+        scored = _bm25_local(bag, [(r[0], set(r[1])) for r in head], out, k, k1, b)
+    return _ranked(scored, k).select(
+        F.col("_q").alias(query_id), "rank", F.col("_i").alias(doc_id), F.col("_c").alias("score")
+    )
+
+
+def _bm25_local(bag: DataFrame, queries: list, out: T.StructType, k: int, k1: float, b: float):
+    vocabulary = {t: n for n, t in enumerate(sorted(set().union(*[w for _, w in queries])))}
+    size = len(vocabulary)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Documents per term; the last two cells hold all documents and their words.
+        held = np.zeros(size + 2, dtype=np.int64)
+        for batch in batches:
+            for found in batch["_w"]:
+                for t in set(found):
+                    if t in vocabulary:
+                        held[vocabulary[t]] += 1
+                held[size] += 1
+                held[size + 1] += len(found)
+        yield pd.DataFrame({"t": np.arange(size + 2), "n": held})
+
+    held = np.zeros(size + 2)
+    for row in bag.mapInPandas(count, "t bigint, n bigint").groupBy("t").agg(F.sum("n")).collect():
+        held[row[0]] = row[1]
+    n_docs, avg_len = held[size], held[size + 1] / max(held[size], 1)
+    idf = np.log((n_docs - held[:size] + 0.5) / (held[:size] + 0.5) + 1)
+    ids = [q for q, _ in queries]
+    asked = np.zeros((len(queries), size))
+    for row, (_, found) in zip(asked, queries):
+        cells = [vocabulary[t] for t in found]
+        row[cells] = idf[cells]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            # At most about 8 MB of term counts at a time, whatever the vocabulary.
+            step = max(1, 1_000_000 // max(size, 1))
+            for start in range(0, len(batch), step):
+                part = batch[start : start + step]
+                tf = np.zeros((len(part), size))
+                for row, found in zip(tf, part["_w"]):
+                    cells = [vocabulary[t] for t in found if t in vocabulary]
+                    row += np.bincount(cells, minlength=size) if cells else 0
+                length = part["_w"].map(len).to_numpy()[:, None]
+                weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / max(avg_len, 1e-9)))
+                scores = np.round(asked @ weight.T, 6)
+                if ids:
+                    yield _best(ids, scores, part["_i"], k, matched=True)
+
+    return bag.mapInPandas(score, out)
+
+
+def _bm25_join(bag: DataFrame, queries: DataFrame, query_id: str, text: str, k1: float, b: float):
+    """Term frequencies of the wanted terms only, combined map-side, joined to the queries."""
+    terms = queries.select(
+        F.col(query_id).alias("_q"), F.explode(F.array_distinct(words(F.col(text)))).alias("_t")
+    )
+    corpus = bag.agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("_w")).alias("len"))
+    ).scalar()
     tf = (
-        bag.select(doc_id, F.size("_w").alias("_len"), F.explode("_w").alias("_t"))
-        .join(wanted, "_t", "left_semi")
-        .groupBy(doc_id, "_len", "_t")
+        bag.select("_i", F.size("_w").alias("_len"), F.explode("_w").alias("_t"))
+        .join(terms.select("_t").distinct(), "_t", "left_semi")
+        .groupBy("_i", "_len", "_t")
         .agg(F.count(F.lit(1)).alias("_tf"))
     )
-    df = tf.groupBy("_t").agg(F.count(F.lit(1)).alias("_df"))
-    n, avg_len = sizes.select("n").scalar(), sizes.select("avg_len").scalar()
-    idf = df.select("_t", F.log((n - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1).alias("_idf"))
-    weight = (
-        F.col("_tf")
-        * (k1 + 1)
-        / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / avg_len))
-    )
-    parts = tf.withColumn("_w", weight).join(terms.join(idf, "_t"), "_t")
-    scored = parts.groupBy(query_id, doc_id).agg(
-        F.round(F.sum(F.col("_idf") * F.col("_w")), 6).alias("score")
+    held = tf.groupBy("_t").agg(F.count(F.lit(1)).alias("_df"))
+    idf = F.log((corpus["n"] - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1)
+    norm = k1 * (1 - b + b * F.col("_len") / corpus["len"])
+    weight = F.col("_tf") * (k1 + 1) / (F.col("_tf") + norm)
+    parts = tf.withColumn("_x", weight).join(
+        terms.join(held.select("_t", idf.alias("_idf")), "_t"), "_t"
     )
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(doc_id))
-    return (
-        scored.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= k)
-        .select(query_id, "rank", doc_id, "score")
+    return parts.groupBy("_q", "_i").agg(
+        F.round(F.sum(F.col("_idf") * F.col("_x")), 6).alias("_c")
     )
 
 

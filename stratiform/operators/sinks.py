@@ -8,8 +8,8 @@ from datetime import datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..spec import struct
 from .merge import all_present, upsert
 
 
@@ -104,8 +104,8 @@ class SnapshotTable:
     time.
     """
 
-    LOG = T.StructType.fromDDL(
-        "snapshot_id BIGINT, data_id BIGINT, committed_at TIMESTAMP, operation STRING, n_rows BIGINT"
+    LOG = struct(
+        "snapshot_id long, data_id long, committed_at timestamp, operation string, n_rows long"
     )
 
     def __init__(self, spark: SparkSession, path: str):

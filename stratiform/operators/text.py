@@ -10,15 +10,24 @@ from pyspark.sql import functions as F
 from ..functions.hashing import chunk_uid
 
 # What ends a line, what counts as white space, and the chunk parameters.
-LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\u0085\\u2028\\u2029]"
-SPACE = "[\\s\\x0b\\x1c-\\x1f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+LINE_BREAK = "[\\n-\\r\\x1c-\\x1e\\u0085\\u2028\\u2029]"
+SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 CHUNK_CHARS = 800
 OVERLAP_PART = 5
 
 
 def strip(c: Column) -> Column:
     """Without white space at either end (any Unicode white space, not just blanks)."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE))
+
+
+def lines_of(text: Column) -> Column:
+    """The lines of a text; a carriage return with a line feed ends one line, not two."""
+    return F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), LINE_BREAK)
 
 
 def chunks_of(text: Column, max_chars: int = CHUNK_CHARS) -> Column:
@@ -30,7 +39,7 @@ def chunks_of(text: Column, max_chars: int = CHUNK_CHARS) -> Column:
     """
     body = strip(text)
     lines = F.when(body == "", F.array().cast("array<string>")).otherwise(
-        F.split(body, LINE_BREAK)
+        lines_of(body)
     )
     start = F.struct(
         F.array().cast("array<string>").alias("open"),
@@ -106,7 +115,7 @@ def find_mentions(
 
     The report shows ``first`` lines per text and name; the whole text is searched.
     """
-    lines = F.split(text, LINE_BREAK)
+    lines = lines_of(F.col(text))
 
     def hits(name):
         kept = F.slice(F.filter(lines, lambda s: s.contains(name)), 1, first)

@@ -20,6 +20,15 @@ REJECT_META = ("_rule_id", "_violation_detail", "_rejected_ts", "_dq_rule_versio
 OPEN_END = "9999-12-31"
 
 
+def struct(fields: str) -> T.StructType:
+    """``"id long, name string"`` as a schema; unlike DDL it needs no running session."""
+    out = T.StructType()
+    for item in fields.split(","):
+        name, kind = item.split()
+        out = out.add(name, kind)
+    return out
+
+
 @dataclass(frozen=True)
 class TableSpec:
     """One table of a registry: where it comes from, its schema and its key.

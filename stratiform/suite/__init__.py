@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 from importlib import import_module
@@ -32,7 +32,17 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # Kept, so that a plan with many branches lists the files and reads the footer once.
+        self.__dict__[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.__dict__[name]
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """The documents, dealt out to all cores where a few files would keep them in a few
+        tasks; work on texts is heavy per row.  A table of many files is read as it lies."""
+        docs = self.documents
+        cores = self.spark.sparkContext.defaultParallelism
+        return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
     def view(self, sql: str) -> DataFrame:
         """A derived input: SQL over the test tables that reads the same in both engines."""
@@ -43,10 +53,11 @@ class Tables:
         return scratch_path(self.spark, purpose)
 
     @cached_property
-    def model(self) -> dict[str, DataFrame]:
-        from .model import security_model
+    def model(self) -> Mapping[str, DataFrame]:
+        """The security model; a table is derived when it is first asked for."""
+        from .model import SecurityModel
 
-        return security_model(self)
+        return SecurityModel(self)
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,6 @@ from functools import reduce
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.hashing import row_hash
 from ..operators import governance as g
@@ -20,19 +19,19 @@ from ..plans.ingest import ingest_all as load_registry
 from ..sources import files
 from ..sources.dispatch import read_source
 from ..sources.messages import decode_messages as decode
-from ..spec import TableSpec
+from ..spec import TableSpec, struct
 from . import Tables, query
 from .history import KEY, N, hashed
 from .inputs import DIRTY, NEXT, plain
 from .quality import _BLOCKED, _REJECTS, DQ, rules
 
 DAY_ONE, DAY_TWO = datetime(2024, 1, 1, 3), datetime(2024, 2, 1, 3)
-ORDERS = T.StructType.fromDDL(
-    "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+ORDERS = struct(
+    "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
     "o_day date, o_orderpriority string"
 )
-CUSTOMER = T.StructType.fromDDL(
-    "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+CUSTOMER = struct(
+    "c_custkey long, c_name string, c_nationkey integer, c_acctbal double, c_mktsegment string"
 )
 
 
@@ -63,7 +62,7 @@ def read_csv_quoted(t: Tables) -> DataFrame:
     rows = t.view(DIRTY).select("custkey", F.trim("name").alias("name"), "balance", "segment")
     marked = rows.withColumn("name", F.when(F.col("name") != "", F.concat("name", F.lit(';"x"'))))
     marked.write.options(header=True, sep=";", escape='"').csv(path)
-    schema = T.StructType.fromDDL("custkey bigint, name string, balance double, segment string")
+    schema = struct("custkey long, name string, balance double, segment string")
     back = files.read_csv(t.spark, path, schema, delimiter=";")
     return back.withColumn("name", F.regexp_replace("name", ';"x"$', ""))
 
@@ -110,7 +109,7 @@ def read_paged(t: Tables) -> DataFrame:
         return "".join(store.open_input_stream(f).read().decode() for f in found)
 
     spec = TableSpec(
-        "customers", T.StructType.fromDDL("c_custkey bigint, c_name string, c_acctbal double")
+        "customers", struct("c_custkey long, c_name string, c_acctbal double")
     )
     config = {
         "type": "api", "fetch": fetch, "max_pages": pages, "page_size": page_size,
@@ -149,7 +148,7 @@ def decode_messages(t: Tables) -> DataFrame:
         F.col("props").cast("binary").alias("value"),
         F.col("event_id").alias("offset"), F.col("ts").alias("timestamp"),
     )
-    return decode(messages, T.StructType.fromDDL("k bigint"))
+    return decode(messages, struct("k long"))
 
 
 # --- sinks ----------------------------------------------------------------------------------

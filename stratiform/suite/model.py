@@ -144,8 +144,14 @@ FROM {{supplier}} JOIN {{nation}} ON s_nationkey = n_nationkey""",
 }
 
 
-def security_model(tables) -> dict:
-    return {name: tables.view(sql) for name, sql in MODEL.items()}
+class SecurityModel(dict):
+    def __init__(self, tables):
+        super().__init__()
+        self.tables = tables
+
+    def __missing__(self, name: str):
+        self[name] = self.tables.view(MODEL[name])
+        return self[name]
 
 
 def ctes(*names: str) -> str:

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import predicates as P
 from ..functions.hashing import row_hash
@@ -15,7 +14,9 @@ from ..operators import joins as J
 from ..operators import projections as pr
 from ..operators import windows as W
 from ..operators.governance import lineage, lineage_edges
-from ..operators.history import yearly
+from ..operators.history import history_from_events, yearly
+from ..session import materialise
+from ..spec import struct
 from . import Tables, query
 from .inputs import DIRTY, plain
 
@@ -96,7 +97,7 @@ def typed_null(t: Tables) -> DataFrame:
   CAST(balance AS VARCHAR) AS balance, CAST(NULL AS DATE) AS since, custkey FROM d"""
 )
 def conform_types(t: Tables) -> DataFrame:
-    schema = T.StructType.fromDDL("nationkey int, segment int, balance string, since date")
+    schema = struct("nationkey integer, segment integer, balance string, since date")
     return pr.conform(_dirty(t).drop("name"), schema, extra="keep")
 
 
@@ -289,12 +290,10 @@ LEFT JOIN v ON v.partkey = l.l_partkey AND v.start <= CAST(o_orderdate AS DATE)
     headline=True,
 )
 def as_of_join(t: Tables) -> DataFrame:
-    from ..operators.history import history_from_events
-
-    prices = t.view(PRICES)
-    history = history_from_events(
-        prices, ["partkey"], "start", [], ["price"], slice_by=yearly
+    versions = history_from_events(
+        t.view(PRICES), ["partkey"], "start", [], ["price"], slice_by=yearly
     ).withColumn("until", F.coalesce("end", F.lit("9999-12-31").cast("date")))
+    history = materialise(versions, "prices")
     facts = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         "l_orderkey", "l_linenumber", F.col("l_partkey").alias("partkey"),
         F.to_date("o_orderdate").alias("day"),

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import quality as q
 from ..operators.aggregates import union_counts
+from ..spec import struct
 from ..streaming import ingest as st
 from . import Tables, query
 from .inputs import VERSION
 
-EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+EVENTS = struct(
+    "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+)
 AS_OF = "2024-02-01 00:00:00"
 
 
@@ -21,7 +23,7 @@ def _stream(t: Tables, parts: int = 4) -> DataFrame:
     path = t.scratch("arriving")
     t.events.repartition(parts, "event_id").write.parquet(path)
     return st.stream_files(
-        t.spark, path, T.StructType.fromDDL(EVENTS), max_files_per_trigger=1
+        t.spark, path, EVENTS, max_files_per_trigger=1
     )
 
 
@@ -29,7 +31,7 @@ def _stream(t: Tables, parts: int = 4) -> DataFrame:
 def stream_files(t: Tables) -> DataFrame:
     """Each file once: a second run of the same query adds nothing."""
     stream = st.stream_files(
-        t.spark, t.folder, T.StructType.fromDDL(EVENTS), pattern="events.parquet"
+        t.spark, t.folder, EVENTS, pattern="events.parquet"
     ).select("event_id", "user_id", "event_type", "value")
     path, checkpoint = t.scratch("out"), t.scratch("checkpoint")
     for _ in range(2):
@@ -49,7 +51,7 @@ def stream_bronze(t: Tables) -> DataFrame:
     # Every message arrives twice; the second copy is dropped by its offset.
     twice = messages.unionByName(messages)
     fresh = st.dedupe_offsets(
-        st.bronze_stream(twice, T.StructType.fromDDL("k bigint")), ["_kafka_offset"],
+        st.bronze_stream(twice, struct("k long")), ["_kafka_offset"],
         delay="40 days",
     )
     path = t.scratch("out")

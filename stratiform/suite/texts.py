@@ -43,7 +43,7 @@ chunks AS (SELECT doc_id, source, CAST(unnest(range(len(c))) AS INTEGER) AS chun
 
 def _chunks(t: Tables) -> DataFrame:
     source = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
-    return tx.chunk(t.documents, source, "text", F.col("source"))
+    return tx.chunk(t.texts, source, "text", F.col("source"))
 
 
 @query(
@@ -116,7 +116,7 @@ FROM documents WHERE contains(text, '{n}')"""
     headline=True,
 )
 def find_mentions(t: Tables) -> DataFrame:
-    return tx.find_mentions(t.documents, ["doc_id"], "text", MENTIONED)
+    return tx.find_mentions(t.texts, ["doc_id"], "text", MENTIONED)
 
 
 # --- retrieval ------------------------------------------------------------------------------
@@ -194,7 +194,7 @@ bm AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORD
 
 
 def _bm25(t: Tables) -> DataFrame:
-    return r.bm25(t.documents, t.benchmark, 10, doc_id="doc_id", query_id="item_id", text="text")
+    return r.bm25(t.texts, t.benchmark, 10, doc_id="doc_id", query_id="item_id", text="text")
 
 
 @query(f"WITH {_BM25} SELECT item_id, rank, doc_id, score FROM bm", headline=True)
@@ -202,6 +202,14 @@ def bm25(t: Tables) -> DataFrame:
     return _bm25(t)
 
 
+@query(f"WITH {_BM25} SELECT item_id, rank, doc_id, score FROM bm WHERE rank <= 3")
+def bm25_joined(t: Tables) -> DataFrame:
+    """The way for more queries than one task may hold."""
+    return r.bm25(
+        t.texts, t.benchmark, 3, doc_id="doc_id", query_id="item_id", text="text", max_queries=0
+    )
+
+
 @query(
     f"""WITH {_BM25}, other AS (SELECT item_id, doc_id,
   CAST(row_number() OVER (PARTITION BY item_id ORDER BY score, doc_id DESC) AS INTEGER) AS rank FROM bm),

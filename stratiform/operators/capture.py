@@ -56,7 +56,8 @@ def apply_changes(
         F.max_by(F.struct(*columns), F.when(image, F.col(seq))).alias("_s"),
         F.max_by(F.col(op), F.col(seq)).alias("_last"),
     )
-    joined = pack(target, keys, "_t").join(newest, list(keys), "full_outer")
+    present = all_present(keys)
+    joined = pack(target.filter(present), keys, "_t").join(newest, list(keys), "full_outer")
     keep = F.col("_s").isNull()
     if hash_col is not None:
         keep = keep | F.col(f"_s.{hash_col}").eqNullSafe(F.col(f"_t.{hash_col}"))
@@ -64,12 +65,13 @@ def apply_changes(
     out = joined.select(row.alias("_r"), "_last").filter(F.col("_r").isNotNull())
     flag, value = deleted
     gone = F.coalesce(F.col("_last") == DELETE, F.lit(False))
-    return out.select("_r.*", gone.alias("_gone")).select(
+    applied = out.select("_r.*", gone.alias("_gone")).select(
         *[
             F.when(F.col("_gone"), F.lit(value)).otherwise(F.col(c)).alias(c) if c == flag else c
             for c in columns
         ]
     )
+    return applied.unionByName(target.filter(~present))
 
 
 def advance_checkpoint(

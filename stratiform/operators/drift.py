@@ -21,7 +21,7 @@ QUARANTINE = struct(
     "quarantined_at timestamp, resolved_by string, resolved_at timestamp, resolution_note string"
 )
 ADDITIVE, BREAKING = "ADDITIVE", "BREAKING"
-IGNORED = {*BRONZE_META, "_schema_changes"}
+IGNORED = {*BRONZE_META, "_schema_changes", "_bucket"}
 
 
 class BreakingDrift(ValueError):

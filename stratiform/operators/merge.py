@@ -83,9 +83,13 @@ NEW, CHANGED, UNCHANGED, ABSENT = "NEW", "CHANGED", "UNCHANGED", "ABSENT"
 def diff(
     old: DataFrame, new: DataFrame, keys: Sequence[str], hash_col: str = "_row_hash"
 ) -> DataFrame:
-    """(keys, status) over two versions of a table.  Only keys and hashes are read."""
-    a = old.select(*keys, F.col(hash_col).alias("_a"), F.lit(True).alias("_in_a"))
-    b = new.select(*keys, F.col(hash_col).alias("_b"), F.lit(True).alias("_in_b"))
+    """(keys, status) over two versions of a table.  Only keys and hashes are read.
+
+    A NULL key matches nothing: such rows are ABSENT or NEW and stay out of the join.
+    """
+    present = all_present(keys)
+    a = old.filter(present).select(*keys, F.col(hash_col).alias("_a"), F.lit(True).alias("_in_a"))
+    b = new.filter(present).select(*keys, F.col(hash_col).alias("_b"), F.lit(True).alias("_in_b"))
     joined = a.join(b, list(keys), "full_outer")
     status = (
         F.when(F.col("_in_a").isNull(), NEW)
@@ -93,4 +97,9 @@ def diff(
         .when(F.col("_a").eqNullSafe(F.col("_b")), UNCHANGED)
         .otherwise(CHANGED)
     )
-    return joined.select(*keys, status.alias("status"))
+    loose = [
+        df.filter(~present).select(*keys, F.lit(s).alias("status"))
+        for df, s in ((old, ABSENT), (new, NEW))
+    ]
+    compared = joined.select(*keys, status.alias("status"))
+    return compared.unionByName(loose[0]).unionByName(loose[1])

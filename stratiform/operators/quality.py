@@ -416,11 +416,12 @@ def rule_issues(rules: DataFrame, issues: DataFrame) -> DataFrame:
 
 def compare_expected(rejects: DataFrame, expected: DataFrame) -> DataFrame:
     """Seeded reject counts against actual ones, per table."""
-    actual = rejects.groupBy("table_name").agg(F.count(F.lit(1)).alias("actual"))
-    both = expected.join(actual, "table_name", "full_outer").fillna(0, ["expected", "actual"])
-    return both.select(
-        "table_name", "expected", "actual", (F.col("expected") == F.col("actual")).alias("matches")
-    )
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    wanted = expected.select("table_name", F.col("expected").cast("bigint"), zero.alias("actual"))
+    found = rejects.select("table_name", zero.alias("expected"), one.alias("actual"))
+    both = wanted.unionByName(found).groupBy("table_name")
+    counts = both.agg(F.sum("expected").alias("expected"), F.sum("actual").alias("actual"))
+    return counts.withColumn("matches", F.col("expected") == F.col("actual"))
 
 
 def compare_reports(batch: DataFrame, stream: DataFrame) -> DataFrame:

@@ -9,8 +9,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from ..spec import struct
+from .history import scd2_merge
 from .merge import all_present, upsert
+from .projections import stamp_current
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -71,6 +74,9 @@ def upsert_buckets(
 ) -> None:
     """Upsert into a table laid out by key hash, rewriting only the buckets with changes.
 
+    ``incoming`` has the table's columns; columns it has beyond them are added, and are
+    NULL in the parts that are not rewritten.
+
     Keys and hashes alone decide which incoming rows differ from the table (a scan of two
     narrow columns).  Only buckets that hold such rows are read in full and replaced, so a
     small batch does not rewrite the table.  At most ``buckets`` bucket numbers reach the
@@ -80,7 +86,7 @@ def upsert_buckets(
     if not path_exists(spark, path):
         write_table(src, path, [BUCKET])
         return
-    table = spark.read.parquet(path)
+    table = spark.read.schema(src.schema).parquet(path)
     known = table.select(*keys, BUCKET, hash_col)
     same = [src[c] == known[c] for c in (*keys, BUCKET)]
     same.append(src[hash_col].eqNullSafe(known[hash_col]))
@@ -93,6 +99,61 @@ def upsert_buckets(
     overwrite_partitions(upsert(old, new, keys, hash_col, newest_by), path, [BUCKET])
 
 
+def scd2_buckets(
+    spark: SparkSession,
+    path: str,
+    incoming: DataFrame,
+    keys: Sequence[str],
+    as_of,
+    rule_version: str,
+    *,
+    buckets: int,
+    hash_col: str = "_row_hash",
+) -> None:
+    """Fold a snapshot into a history kept in two parts: ``current``, by key hash, and
+    ``closed``, by the day a version ended and key hash.
+
+    Only buckets with new or changed keys are read and replaced.  Versions closed before
+    ``as_of`` are never touched, so a run costs what it changes, however long the history.
+    The closed versions are written first and by replacing their partition: a run that was
+    cut off half-way can be repeated.
+    """
+    day = F.lit(as_of).cast("date")
+    src = with_bucket(incoming, keys, buckets)
+    now, past = f"{path}/current", f"{path}/closed"
+    if not path_exists(spark, now):
+        write_table(stamp_current(src, as_of, rule_version), now, [BUCKET])
+        return
+    current = spark.read.parquet(now)
+    known = current.select(*keys, BUCKET, hash_col)
+    same = [src[c] == known[c] for c in (*keys, BUCKET)]
+    same.append(src[hash_col].eqNullSafe(known[hash_col]))
+    touched = [r[0] for r in src.join(known, same, "left_anti").select(BUCKET).distinct().collect()]
+    if not touched:
+        return
+    here = F.col(BUCKET).isin(touched)
+    merged = scd2_merge(
+        current.filter(here), src.filter(here), [*keys, BUCKET], as_of, rule_version, hash_col
+    )
+    merged = materialise(merged, "scd2")
+    closed = merged.filter(~F.col("is_current")).withColumn("_closed_on", F.col("effective_end_date"))
+    if path_exists(spark, past):
+        old = spark.read.parquet(past).filter(here & (F.col("_closed_on") == day))
+        closed = closed.unionByName(old.select(*closed.columns))
+        closed = closed.dropDuplicates([*keys, "effective_start_date"])
+    overwrite_partitions(closed, past, ["_closed_on", BUCKET])
+    overwrite_partitions(merged.filter("is_current"), now, [BUCKET])
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """Current and closed versions of a bucketed history."""
+    current = spark.read.parquet(f"{path}/current").drop(BUCKET)
+    if not path_exists(spark, f"{path}/closed"):
+        return current
+    closed = spark.read.parquet(f"{path}/closed")
+    return current.unionByName(closed.select(*current.columns))
+
+
 # --- snapshots ------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from ..operators.history import scd2_merge
 from ..operators.merge import diff
 from ..operators.projections import stamp_current
 from ..operators.quality import Rule, evaluate, route, rule_version
-from ..operators.sinks import SnapshotTable, append
+from ..operators.sinks import SnapshotTable, append, scd2_buckets
 from ..session import materialise
 
 
@@ -25,10 +25,13 @@ def conform_table(
     tables: Mapping[str, DataFrame],
     root: str,
     at: datetime,
-) -> dict[str, int]:
+    *,
+    buckets: int = 0,
+) -> None:
     """Evaluate the rules, append the rejects, then merge the clean rows into the history.
 
-    The evaluated rows are written once to the shared folder, since both outputs read
+    The history is a snapshot table or, with ``buckets``, a bucketed one of which only the
+    parts with changes are rewritten.  The evaluated rows are written once to the shared folder, since both outputs read
     them and a lost executor must not repeat the rule joins.
     """
     version = rule_version(rules)
@@ -37,13 +40,16 @@ def conform_table(
     rejects = rejects.withColumn("_table", F.lit(name))
     append(rejects, f"{root}/{name}_rejects", ["_rule_id"])
     # Warnings describe this run's evaluation and are no part of a row's history hash.
+    if buckets:
+        path = f"{root}/{name}"
+        scd2_buckets(spark, path, clean, keys, at.date(), version, buckets=buckets)
+        return
     table = SnapshotTable(spark, f"{root}/{name}")
     if table.exists():
         merged = scd2_merge(table.read(), clean, keys, at.date(), version)
     else:
         merged = stamp_current(clean, at.date(), version)
-    rows = table.write(merged, "SCD2", at=at)
-    return {"rows_written": rows}
+    table.write(merged, "SCD2", at=at)
 
 
 def change_summary(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,11 +9,17 @@ from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.drift import BreakingDrift, detect_drift, guard_breaking, merge_additive
-from ..operators.drift import drift_event
+from ..operators.drift import (
+    BreakingDrift,
+    detect_drift,
+    drift_event,
+    guard_breaking,
+    merge_additive,
+)
 from ..operators.merge import upsert
 from ..operators.projections import add_metadata, data_columns
-from ..operators.sinks import SnapshotTable, append
+from ..operators.sinks import SnapshotTable, append, read_if_exists, upsert_buckets
+from ..session import materialise
 from ..sources.dispatch import read_source
 from ..spec import TableSpec
 
@@ -43,19 +49,15 @@ def ingest_table(
     rows = add_metadata(
         source, spec.source.get("file", spec.name), batch_id, as_of=at, hash_mode=hash_mode
     )
+    if spec.buckets and spec.key:
+        return _ingest_buckets(spark, spec, root, batch_id, rows, source.schema, at)
     table = SnapshotTable(spark, f"{root}/{spec.name}")
     if not table.exists():
         n = table.write(rows, "CREATE", at=at, partition_by=spec.partition_by)
         return (spec.name, "CREATE", n, "SUCCESS", None)
     old = table.read()
-    drift = detect_drift(old.schema, source.schema)
-    try:
-        guard_breaking(spark, drift, batch_id, spec.name, at)
-    except BreakingDrift as e:
-        append(e.record, f"{root}/_schema_quarantine")
-        raise
+    drift = _guard(spark, spec, root, batch_id, old.schema, source.schema, at)
     if drift["additive"]:
-        append(drift_event(spark, spec.name, drift["additive"], at), f"{root}/_schema_changes")
         columns = data_columns(old) + drift["additive"]
         old = merge_additive(old, source.schema)
         old = old.select(*columns, *[c for c in old.columns if c not in columns])
@@ -67,6 +69,30 @@ def ingest_table(
     return (spec.name, "MERGE", n, "SUCCESS", None)
 
 
+def _guard(spark, spec, root, batch_id, old, new, at) -> dict:
+    """Log additive drift; quarantine and raise on a breaking change."""
+    drift = detect_drift(old, new)
+    try:
+        guard_breaking(spark, drift, batch_id, spec.name, at)
+    except BreakingDrift as e:
+        append(e.record, f"{root}/_schema_quarantine")
+        raise
+    if drift["additive"]:
+        append(drift_event(spark, spec.name, drift["additive"], at), f"{root}/_schema_changes")
+    return drift
+
+
+def _ingest_buckets(spark, spec, root, batch_id, rows, schema, at) -> tuple:
+    """The same load into a bucketed table; counts the delivered rows on the way."""
+    path = f"{root}/{spec.name}"
+    old = read_if_exists(spark, path)
+    if old is not None:
+        _guard(spark, spec, root, batch_id, old.schema, schema, at)
+    rows = materialise(rows, f"delivery-{spec.name}")
+    upsert_buckets(spark, path, rows, spec.key, buckets=spec.buckets)
+    return (spec.name, "CREATE" if old is None else "MERGE", rows.count(), "SUCCESS", None)
+
+
 def ingest_all(
     spark: SparkSession,
     registry: Sequence[TableSpec],

@@ -35,6 +35,10 @@ class TableSpec:
 
     ``level`` orders loads by foreign key: parents have a lower level than children.
     A table without a key is overwritten as a whole on every load.
+
+    A keyed table is kept as snapshots, each a full copy that can be read as of then.  With
+    ``buckets`` it is kept in that many parts by key hash instead, and a load rewrites only
+    the parts it changes: the layout for tables that are large next to their deliveries.
     """
 
     name: str
@@ -43,3 +47,4 @@ class TableSpec:
     source: dict = field(default_factory=dict)
     level: int = 0
     partition_by: tuple[str, ...] = ("_ingestion_date",)
+    buckets: int = 0

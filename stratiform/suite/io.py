@@ -21,8 +21,8 @@ from ..sources.dispatch import read_source
 from ..sources.messages import decode_messages as decode
 from ..spec import TableSpec, struct
 from . import Tables, query
-from .history import KEY, N, hashed
-from .inputs import DIRTY, NEXT, plain
+from .history import _SCD2, KEY, N, hashed
+from .inputs import DIRTY, FIRST_DAY, NEXT, NEXT_DAY, VERSION, plain
 from .quality import _BLOCKED, _REJECTS, DQ, rules
 
 DAY_ONE, DAY_TWO = datetime(2024, 1, 1, 3), datetime(2024, 2, 1, 3)
@@ -186,6 +186,17 @@ def upsert_buckets(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).drop("_row_hash", sinks.BUCKET)
 
 
+@query(_SCD2 + "SELECT * FROM scd", headline=True)
+def scd2_buckets(t: Tables) -> DataFrame:
+    """The history on disk: only buckets with changes are rewritten, closed versions appended."""
+    path = t.scratch("history")
+    first, second = hashed(t.customer), hashed(t.view(NEXT))
+    for delivery, day, version in ((first, FIRST_DAY, "rules-v0"), (second, NEXT_DAY, VERSION),
+                                   (second, NEXT_DAY, VERSION)):
+        sinks.scd2_buckets(t.spark, path, delivery, KEY, day, version, buckets=8)
+    return sinks.read_history(t.spark, path).drop("_row_hash")
+
+
 def _snapshots(t: Tables) -> sinks.SnapshotTable:
     table = sinks.SnapshotTable(t.spark, t.scratch("snapshots"))
     table.write(t.customer, "CREATE", at=DAY_ONE)
@@ -296,7 +307,7 @@ def analyze(t: Tables) -> DataFrame:
 
 @query(
     N
-    + """SELECT 'customer' AS table_name, count(*) AS n_rows, count(DISTINCT _b) AS n_batches FROM (
+    + """SELECT unnest(['customer', 'buyer']) AS table_name, count(*) AS n_rows, count(DISTINCT _b) AS n_batches FROM (
   SELECT coalesce(n.c_custkey, c.c_custkey) AS k,
     CASE WHEN n.c_custkey IS NOT NULL AND (c.c_custkey IS NULL OR c.c_acctbal <> n.c_acctbal) THEN 'b2' ELSE 'b1' END AS _b
   FROM customer c FULL JOIN n ON c.c_custkey = n.c_custkey)
@@ -313,6 +324,7 @@ def ingest_all(t: Tables) -> DataFrame:
         return [
             TableSpec("nation", t.nation.schema, (), src("nation")),
             TableSpec("customer", CUSTOMER, ("c_custkey",), src("customer"), 1),
+            TableSpec("buyer", CUSTOMER, ("c_custkey",), src("customer"), 1, buckets=8),
             TableSpec("orders", ORDERS, ("o_orderkey",), src("orders"), 2, ("_batch_id",)),
         ]
 
@@ -323,8 +335,10 @@ def ingest_all(t: Tables) -> DataFrame:
     for batch, at in (("b1", DAY_ONE), ("b2", DAY_TWO)):
         for name, df in deliveries[batch].items():
             df.write.option("header", True).csv(f"{source}/{batch}/{name}")
-        load_registry(t.spark, specs(batch), root, batch, only=deliveries[batch], at=at)
+        only = {*deliveries[batch], "buyer"}
+        load_registry(t.spark, specs(batch), root, batch, only=only, at=at)
     tables = {n: sinks.SnapshotTable(t.spark, f"{root}/{n}").read() for n in deliveries["b1"]}
+    tables["buyer"] = t.spark.read.parquet(f"{root}/buyer")
     batches = [
         df.agg(F.count_distinct("_batch_id").alias("n_batches")).select(
             F.lit(n).alias("table_name"), "n_batches"

@@ -85,9 +85,9 @@ def derive_metric(t: Tables) -> DataFrame:
     return rows.withColumn("settled", F.col("settled").cast("double"))
 
 
-@query("SELECT n_nationkey, CAST(NULL AS VARCHAR) AS underlying, n_name AS country FROM nation")
+@query("SELECT c_custkey AS id, CAST(NULL AS VARCHAR) AS underlying, upper(c_name) AS label FROM customer")
 def typed_null(t: Tables) -> DataFrame:
-    rows = pr.select_as(t.nation, {"n_nationkey": "n_nationkey", "country": "n_name"})
+    rows = pr.select_as(t.customer, {"id": "c_custkey", "label": F.upper("c_name")})
     return rows.select("*", pr.typed_null("underlying", "string"))
 
 

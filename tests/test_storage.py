@@ -214,3 +214,49 @@ def test_profile_of_dates_and_missing_values(spark, rows):
     assert got["n"].sample_values == ["1", "3"] and got["b"].sample_values == []
     assert got["d"].sample_values == ["2024-01-01"]
     assert all(r.cardinality == 0 for r in profile(df.limit(0)).collect())
+
+
+def test_bucketed_history_equals_the_merge(spark, rows, tmp_path):
+    from stratiform.operators.history import check_scd2, scd2_merge
+    from stratiform.operators.projections import stamp_current
+
+    path, days = str(tmp_path / "h"), ["2024-01-01", "2024-02-01", "2024-02-01", "2024-03-01"]
+    deliveries = [
+        [(f"k{i}", "0") for i in range(40)],
+        [("k1", "1"), ("k2", "0"), ("new", "1")],
+        [("k1", "2"), ("k3", "2")],
+        [("k1", "3"), ("k4", "0")],
+    ]
+    want = None
+    for day, data in zip(days, deliveries):
+        df = frame(spark, data)
+        want = stamp_current(df, day, "v") if want is None else scd2_merge(want, df, ["id"], day, "v")
+        sinks.scd2_buckets(spark, path, df, ["id"], day, "v", buckets=4)
+    got = sinks.read_history(spark, path)
+    assert rows(got, *want.columns) == rows(want)
+    assert all(r.violations == 0 for r in check_scd2(got, ["id"]).collect())
+    before = files_in(path)
+    sinks.scd2_buckets(spark, path, frame(spark, deliveries[3]), ["id"], days[3], "v", buckets=4)
+    assert files_in(path) == before
+
+
+def test_bucketed_ingest(spark, rows, tmp_path):
+    root = str(tmp_path / "bronze")
+    make = lambda n, schema, text: TableSpec(
+        "t", schema, ("id",), deliver(tmp_path / n, text), buckets=4
+    )
+    one = make("1", CSV, "id,v\na,1\nb,2\n")
+    wide = make("2", struct("id string, v string, extra string"), "id,v,extra\nb,3,x\n")
+    assert ingest_table(spark, one, root, "b1", at=D1)[1:4] == ("CREATE", 2, "SUCCESS")
+    assert ingest_table(spark, wide, root, "b2", at=D2)[1:4] == ("MERGE", 1, "SUCCESS")
+    got = spark.read.option("mergeSchema", True).parquet(f"{root}/t")
+    assert rows(got, "id", "v", "extra", "_batch_id") == [("a", "1", None, "b1"), ("b", "3", "x", "b2")]
+
+
+def test_conform_into_buckets(spark, rows, tmp_path):
+    root = str(tmp_path / "silver")
+    for at, data in ((D1, [("a", "1"), ("b", None)]), (D2, [("a", "2")])):
+        rules = [q.not_null_rule("R1", "t", "v")]
+        conform_table(spark, "t", frame(spark, data), ["id"], rules, {}, root, at, buckets=2)
+    got = sinks.read_history(spark, f"{root}/t")
+    assert rows(got, "id", "v", "is_current") == [("a", "1", False), ("a", "2", True)]

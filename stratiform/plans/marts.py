@@ -61,8 +61,9 @@ def primary_identifier(identifiers: DataFrame) -> DataFrame:
 def wide_mart(t: Tables, built_at) -> DataFrame:
     """One row per current product with the attributes of all its subtype tables.
 
-    All branches but the issuer join on ``product_id``, so the product table is exchanged
-    once for them however many there are.
+    The issuer comes first, while the rows are narrow: its key is the one that may be hot,
+    and a skewed join before the exchange on ``product_id`` can be split freely.  All other
+    branches join on ``product_id`` and share that one exchange, however many there are.
     """
     by_id = lambda name, columns: Branch(
         t[name], "product_id", "product_id", columns, current=True
@@ -74,6 +75,11 @@ def wide_mart(t: Tables, built_at) -> DataFrame:
     )
     same = lambda *names: {n: n for n in names}
     branches = [
+        Branch(
+            t["legal_entity"], "issuer_legal_entity_id", "legal_entity_id",
+            {"issuer_legal_name": "legal_name", "issuer_legal_structure": "legal_structure"},
+            current=True,
+        ),
         Branch(
             primary_identifier(t["identifiers"]), "product_id", "product_id",
             same("primary_id_type", "primary_identifier_value"),
@@ -103,11 +109,6 @@ def wide_mart(t: Tables, built_at) -> DataFrame:
              "latest_rating_agency": "rating_agency",
              "latest_rating_type_id": "product_rating_type_id"},
         ),
-        Branch(
-            t["legal_entity"], "issuer_legal_entity_id", "legal_entity_id",
-            {"issuer_legal_name": "legal_name", "issuer_legal_structure": "legal_structure"},
-            current=True,
-        ),
     ]
     return flatten(root, branches).select(
         "product_id", "id_type", "type", "sub_type", "status", "description",
@@ -164,6 +165,10 @@ def product_dimension(t: Tables, built_at) -> DataFrame:
     wide = flatten(
         root,
         [
+            Branch(
+                t["legal_entity"], "issuer_legal_entity_id", "legal_entity_id",
+                {"issuer_legal_name": "legal_name"}, current=True,
+            ),
             b("stock", {"_stock_series": "series_id"}),
             b("preferred_stock", {"dividend_right": "dividend_right"}),
             b("fund", {"endness_type": "endness_type", "mutual_fund_type": "mutual_fund_type"}),
@@ -173,10 +178,6 @@ def product_dimension(t: Tables, built_at) -> DataFrame:
             b("listed_derivative", {"_derivative_series": "series_id"}),
             b("option", {"option_type": "option_type", "strike_price": "strike_price"}),
             b("future", {"valuation_method": "valuation_method"}),
-            Branch(
-                t["legal_entity"], "issuer_legal_entity_id", "legal_entity_id",
-                {"issuer_legal_name": "legal_name"}, current=True,
-            ),
         ],
     )
     return wide.select(

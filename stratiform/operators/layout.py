@@ -85,10 +85,13 @@ def compact(
     elif cluster_by:
         df = df.withColumn("_z", z_value(df, cluster_by))
         order.append(F.col("_z"))
-    out = df.repartitionByRange(parts, *order) if order else df.repartition(parts)
     if order:
-        out = out.sortWithinPartitions(*order)
-    out.drop("_z").write.mode("overwrite").partitionBy(*partition_by).parquet(target)
+        # The random last column lets a value that fills more than one file span several.
+        df = df.withColumn("_spread", F.rand(7))
+        out = df.repartitionByRange(parts, *order, F.col("_spread")).sortWithinPartitions(*order)
+    else:
+        out = df.repartition(parts)
+    out.drop("_z", "_spread").write.mode("overwrite").partitionBy(*partition_by).parquet(target)
     return parts
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import quality as q
-from ..operators.governance import sla_check
+from ..operators.governance import sla_check as sla_of
 from ..operators.windows import first_per_key
 from ..plans.security_rules import security_rules
 from . import Tables, query
@@ -113,8 +113,10 @@ def dq_composite_key(t: Tables) -> DataFrame:
   SELECT text FROM documents WHERE trim(text) <> '' GROUP BY text HAVING count(DISTINCT source) > 1)"""
 )
 def dq_business_key(t: Tables) -> DataFrame:
-    rule = q.owner_rule("R", "documents", "text", "source")
-    return q.failing_rows(t.documents, rule).select("doc_id", "source", "lang")
+    rule = q.owner_rule("R", "documents", "text_hash", "source")
+    text_hash = F.when(F.trim("text") != "", F.sha2("text", 256)).alias("text_hash")
+    docs = t.documents.select("doc_id", "source", "lang", text_hash)
+    return q.failing_rows(docs, rule).select("doc_id", "source", "lang")
 
 
 @query(D + ROWS + FAILS["C05"])
@@ -431,13 +433,13 @@ def dq_catalogue(t: Tables) -> DataFrame:
   max(ts) < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 2 HOUR AS breach FROM events
 WHERE event_type = 'click' AND ts > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 1 DAY"""
 )
-def sla(t: Tables) -> DataFrame:
+def sla_check(t: Tables) -> DataFrame:
     audit = t.events.filter("event_type = 'click'").select(
         F.lit("bronze").alias("stage"), F.lit("SUCCESS").alias("status"),
         F.col("ts").cast("timestamp").alias("started_at"),
         F.col("ts").cast("timestamp").alias("completed_at"),
     )
-    out = sla_check(audit, "bronze", "2 HOURS", "2024-01-31 00:00:00")
+    out = sla_of(audit, "bronze", "2 HOURS", "2024-01-31 00:00:00")
     return out.select("stage", F.to_date("last_completed").alias("last_day"), "breach")
 
 

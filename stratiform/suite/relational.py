@@ -353,11 +353,15 @@ def dup_rows(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT text, count(DISTINCT source) AS n FROM documents
-WHERE text IS NOT NULL AND text <> '' GROUP BY text HAVING count(DISTINCT source) > 1"""
+    """SELECT sha256(text) AS text_hash, count(DISTINCT source) AS n FROM documents
+WHERE text IS NOT NULL AND text <> '' GROUP BY 1 HAVING count(DISTINCT source) > 1"""
 )
 def multi_owner(t: Tables) -> DataFrame:
-    return A.multi_owner(t.documents, "text", "source")
+    """Texts that several sources carry; only their hashes are exchanged."""
+    hashes = t.documents.filter("text <> ''").select(
+        F.sha2("text", 256).alias("text_hash"), "source"
+    )
+    return A.multi_owner(hashes, "text_hash", "source")
 
 
 @query(

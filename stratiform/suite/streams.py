@@ -30,9 +30,9 @@ def _stream(t: Tables, parts: int = 4) -> DataFrame:
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def stream_files(t: Tables) -> DataFrame:
     """Each file once: a second run of the same query adds nothing."""
-    stream = st.stream_files(
-        t.spark, t.folder, EVENTS, pattern="events.parquet"
-    ).select("event_id", "user_id", "event_type", "value")
+    stream = st.stream_files(t.spark, f"{t.folder}/events.parquet*", EVENTS).select(
+        "event_id", "user_id", "event_type", "value"
+    )
     path, checkpoint = t.scratch("out"), t.scratch("checkpoint")
     for _ in range(2):
         st.append_stream(stream, path, checkpoint)

@@ -46,7 +46,7 @@ def compare(spark, con, folder: str, q) -> tuple[bool, str]:
     a = _table(got)
     if q.sql is None:
         return got.num_rows > 0, f"rows only: {got.num_rows}"
-    want = con.execute(q.sql).to_arrow_table()
+    want = con.sql(q.sql).to_arrow_table()
     b = _table(want)
     if a[0] != b[0]:
         return False, f"columns differ: {a[0]} / {b[0]}"

@@ -13,7 +13,7 @@ from stratiform.suite import Tables, load
 FOLDER = "/root/testdata/sf0.001"
 # These run jobs of their own (writes, streams, loops) before they return a frame.
 EAGER = re.compile(
-    "read_|stream|ingest|conform_c|snapshot|upsert_b|partition|compact|comments|^tags|analyze|audit_a|column_t|lineage_c|overwrite|history_from|check_int|as_of_j"
+    "read_|stream|ingest|conform_c|snapshot|upsert_b|partition|compact|comments|^tags|analyze|audit_a|column_t|lineage_c|overwrite|history_from|check_int|as_of_j|scd2_b"
 )
 
 

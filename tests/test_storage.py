@@ -260,3 +260,13 @@ def test_conform_into_buckets(spark, rows, tmp_path):
         conform_table(spark, "t", frame(spark, data), ["id"], rules, {}, root, at, buckets=2)
     got = sinks.read_history(spark, f"{root}/t")
     assert rows(got, "id", "v", "is_current") == [("a", "1", False), ("a", "2", True)]
+
+
+def test_compaction_splits_a_hot_value(spark, tmp_path, monkeypatch):
+    source, target = str(tmp_path / "a"), str(tmp_path / "b")
+    hot = spark.range(30_000).selectExpr("if(id % 3 = 0, 0, id) AS x", "uuid() AS v")
+    hot.write.parquet(source)
+    monkeypatch.setattr(layout, "path_bytes", lambda *_: 12 * 1024 * 1024)
+    assert layout.compact(spark, source, target, cluster_by=["x"], target_mb=1) == 12
+    per_file = spark.read.parquet(target).groupBy(F.input_file_name()).count()
+    assert per_file.agg(F.max("count")).first()[0] < 30_000 / 6

@@ -62,6 +62,22 @@ def with_bucket(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
     return df.withColumn(BUCKET, F.when(all_present(keys), b).otherwise(F.lit(-1)))
 
 
+def _changed_buckets(
+    table: DataFrame, src: DataFrame, keys: Sequence[str], hash_col: str
+) -> list[int]:
+    """The buckets with rows of ``src`` that the table lacks or has differently.
+
+    Only keys and hashes are read, and only from buckets that occur in ``src``; at most
+    as many numbers as there are buckets reach the driver.
+    """
+    present = [r[0] for r in src.select(BUCKET).distinct().collect()]
+    known = table.filter(F.col(BUCKET).isin(present)).select(*keys, BUCKET, hash_col)
+    same = [src[c] == known[c] for c in (*keys, BUCKET)]
+    same.append(src[hash_col].eqNullSafe(known[hash_col]))
+    fresh = src.join(known, same, "left_anti")
+    return [r[0] for r in fresh.select(BUCKET).distinct().collect()]
+
+
 def upsert_buckets(
     spark: SparkSession,
     path: str,
@@ -78,20 +94,15 @@ def upsert_buckets(
     NULL in the parts that are not rewritten.
 
     Keys and hashes alone decide which incoming rows differ from the table (a scan of two
-    narrow columns).  Only buckets that hold such rows are read in full and replaced, so a
-    small batch does not rewrite the table.  At most ``buckets`` bucket numbers reach the
-    driver.
+    narrow columns in the buckets concerned).  Only buckets that hold such rows are read in
+    full and replaced, so a small batch neither reads nor rewrites the whole table.
     """
     src = with_bucket(incoming, keys, buckets)
     if not path_exists(spark, path):
         write_table(src, path, [BUCKET])
         return
     table = spark.read.schema(src.schema).parquet(path)
-    known = table.select(*keys, BUCKET, hash_col)
-    same = [src[c] == known[c] for c in (*keys, BUCKET)]
-    same.append(src[hash_col].eqNullSafe(known[hash_col]))
-    fresh = src.join(known, same, "left_anti")
-    touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]
+    touched = _changed_buckets(table, src, keys, hash_col)
     if not touched:
         return
     old = table.filter(F.col(BUCKET).isin(touched)).select(*src.columns)
@@ -125,10 +136,7 @@ def scd2_buckets(
         write_table(stamp_current(src, as_of, rule_version), now, [BUCKET])
         return
     current = spark.read.parquet(now)
-    known = current.select(*keys, BUCKET, hash_col)
-    same = [src[c] == known[c] for c in (*keys, BUCKET)]
-    same.append(src[hash_col].eqNullSafe(known[hash_col]))
-    touched = [r[0] for r in src.join(known, same, "left_anti").select(BUCKET).distinct().collect()]
+    touched = _changed_buckets(current, src, keys, hash_col)
     if not touched:
         return
     here = F.col(BUCKET).isin(touched)

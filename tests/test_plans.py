@@ -87,3 +87,34 @@ def test_text_work_stays_in_the_row(tables):
     assert "Exchange" not in plan(got) and "Python" not in plan(got)
     source = F.col("doc_id").cast("string")
     assert "Exchange" not in plan(tx.chunk(tables.documents, source, "text", F.col("source")))
+
+
+def test_a_hot_key_is_split(spark, large):
+    """AQE cuts the partition of a key that holds most rows, in each of the key joins."""
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    old = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(60_000).repartition(6).selectExpr(
+            "if(id % 3 < 2, -1, id) AS k", "uuid() AS payload", "cast(id % 7 AS string) AS t"
+        )
+        parent = spark.range(0, 60_000, 2).selectExpr("id AS k", "cast(id % 7 AS string) AS t")
+        found = {
+            "orphans": J.orphans(df, parent, "k", "k"),
+            "duplicates": W.duplicate_rows(df, ["k"]),
+            "lookup": J.lookup(df, parent, "k", "k", {"other": "t"}),
+            "rule": q.failing_rows(df, q.fk_rule("R", "t", "k", "p", "k"), {"p": parent}),
+        }
+        for name, out in found.items():
+            out.write.format("noop").mode("overwrite").save()
+            out.collect()
+            assert "skew=true" in plan(out), name
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

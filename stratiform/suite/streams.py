@@ -44,7 +44,7 @@ def stream_files(t: Tables) -> DataFrame:
   CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'streaming' AS _batch_id FROM events"""
 )
 def stream_bronze(t: Tables) -> DataFrame:
-    messages = _stream(t).select(
+    messages = _stream(t, 2).select(
         F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"),
         F.col("event_id").alias("offset"), F.col("ts").cast("timestamp").alias("timestamp"),
     )

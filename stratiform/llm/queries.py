@@ -46,3 +46,14 @@ def op3_shard(spark: SparkSession, folder: str) -> DataFrame:
         F.col("_slot").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@register
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = read(spark, folder, "documents")
+    return encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"], ids=False)

@@ -57,3 +57,25 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = read(spark, folder, "documents")
     return encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"], ids=False)
+
+
+@register
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from ..session import scratch_path
+    from .warc import read_archive, write_archive
+
+    path = scratch_path(spark, "warc")
+    write_archive(read(spark, folder, "pages"), path)
+    return read_archive(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+ORACLE_SQL["op4_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN strlen(p.h) >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(p.h) >= 1000 AND page_id < top THEN top END AS refers_to
+FROM p JOIN g USING (h)
+"""

@@ -79,3 +79,36 @@ SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS paylo
   CASE WHEN strlen(p.h) >= 1000 AND page_id < top THEN top END AS refers_to
 FROM p JOIN g USING (h)
 """
+
+
+@register
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    found = near_duplicates(
+        read(spark, folder, "documents"), words=3, percent=85, bands=28, rows=6
+    )
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+ORACLE_SQL["op2_near_duplicates"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3
+    THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' ')) END) AS sh
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b USING (sh)
+  WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+  WHERE 100 * both >= 85 * (a.n + b.n - both)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, id) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.id FROM reach r JOIN edges e ON e.x = r.doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.id) AS component_id,
+  d.doc_id = min(r.id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r USING (doc_id) GROUP BY d.doc_id, n.n
+"""

@@ -63,8 +63,9 @@ def super_minhash(sets: list[np.ndarray], registers: int) -> np.ndarray:
     element = np.concatenate(sets)
     places: np.ndarray | None = None  # the permutations so far, from the second step on
     first = None
+    step = GOLD * np.arange(1, registers + 1, dtype=np.uint64)
     for j in range(registers):
-        draw = mix(element + GOLD * np.uint64(j + 1))
+        draw = mix(element + step[j])
         k = j + (((draw >> np.uint64(32)) * np.uint64(registers - j)) >> np.uint64(32)).astype(np.int64)
         value = (np.uint64(j) << np.uint64(32)) + (draw & np.uint64(0xFFFFFFFF))
         if j == 0:

@@ -101,10 +101,10 @@ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws)
     ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' ')) END) AS sh
   FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b USING (sh)
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS inter FROM s a JOIN s b USING (sh)
   WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
-  WHERE 100 * both >= 85 * (a.n + b.n - both)),
+  WHERE 100 * inter >= 85 * (a.n + b.n - inter)),
 edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(doc_id, id) AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.id FROM reach r JOIN edges e ON e.x = r.doc_id)

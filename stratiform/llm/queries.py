@@ -112,3 +112,14 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.id) AS co
   d.doc_id = min(r.id) AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r USING (doc_id) GROUP BY d.doc_id, n.n
 """
+
+#: Key of the registered queries; a real run passes one of its own.
+SECRET = "stratiform-test-key"
+
+
+@register
+def op7_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return pseudonymise(docs, SECRET)

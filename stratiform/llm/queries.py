@@ -123,3 +123,12 @@ def op7_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = read(spark, folder, "documents").select("doc_id", "text")
     return pseudonymise(docs, SECRET)
+
+
+@register
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = read(spark, folder, "documents")
+    model = fit(docs, read(spark, folder, "labels"))
+    return score(docs.select("doc_id", "text"), model).drop("text")

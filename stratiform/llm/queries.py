@@ -132,3 +132,10 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     model = fit(docs, read(spark, folder, "labels"))
     return score(docs.select("doc_id", "text"), model).drop("text")
+
+
+@register
+def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    from .brown import score
+
+    return score(read(spark, folder, "documents"))

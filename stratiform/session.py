@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +21,7 @@ SESSION_DEFAULTS = {
 }
 
 _local_base: str | None = None
+_shipped: set[str] = set()
 
 
 def build_session(app: str, master: str | None = None, **conf: str) -> SparkSession:
@@ -30,6 +33,24 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session's application, once.
+
+    The operators that run Python on the executors are pickled by reference, so workers must
+    be able to import them wherever the package lies on the driver.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="stratiform-package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written intermediates.
 

@@ -139,3 +139,26 @@ def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
     from .brown import score
 
     return score(read(spark, folder, "documents"))
+
+
+@register
+def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    from .vector_duplicates import near_vectors
+
+    return near_vectors(read(spark, folder, "embeddings"))
+
+
+ORACLE_SQL["op10_near_vectors"] = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS (SELECT vec_id, v FROM e WHERE v IS NOT NULL AND len(v) > 0
+  AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(vec_id, id) AS (SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT l.y, r.id FROM reach r JOIN links l ON l.x = r.vec_id),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(r.id) AS component_id,
+  e.vec_id = min(r.id) AS kept
+FROM e JOIN reach r USING (vec_id) LEFT JOIN n ON n.x = e.vec_id GROUP BY e.vec_id
+"""

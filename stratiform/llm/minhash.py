@@ -19,6 +19,8 @@ EMPTY = np.uint64(2**64 - 1)
 CHUNK = 150_000
 #: Members of a bucket that one task compares at once, on the leftover and on the other side.
 BLOCK_LEFT, BLOCK_ALL = 512, 2048
+#: Members of a family in one block, with their whole sets.
+BLOCK_SETS = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -164,11 +166,14 @@ def near_duplicates(
       with probability (1 - t^rows)^bands: 3e-6 at the defaults, 2e-6 for op2's parameters.
     * First each class is compared with one centre per bucket, the member that meets most
       others over all its buckets.  This is linear in the bucket.
-    * What is not joined to the centre's component then is compared with *all* members of
-      its bucket outside its own component, in blocks that many tasks share.  So each pair
-      in a bucket is either tested or already connected; no bucket is capped.
-    * Compared means: sizes can reach the threshold, signatures agree in 70 % of what is
-      expected at it (over six standard deviations of slack), then the full sets decide.
+    * What is not joined to the centre's component then faces *all* members of its bucket
+      outside its own component.  Texts whose signatures agree make families, and in a family
+      every two texts of different components are compared on their full sets.  So each pair
+      in a bucket is either tested or already connected; no bucket is capped.  Both steps
+      work on grids of blocks and return a spanning forest, never all pairs; their time is
+      quadratic where very many texts are alike, but not alike enough.
+    * Signatures agree if they do in five standard deviations below the threshold or more
+      (one pair in three million at the threshold does not), and sizes must allow it.
 
     Defined results: NULL texts and texts without words have an empty set, link with nothing
     and are kept; rows that repeat are in one group; a NULL key counts as larger than any
@@ -204,10 +209,10 @@ def near_duplicates(
         overlapping(tested, members, docs, key, text, words, percent), "minhash-links"
     )
     joined = components(links, "minhash-union")
-    rest = leftovers(shared.where("size > 2"), centres, joined, members, percent)
-    rest = materialise(rest.join(tested, ["a", "b"], "left_anti"), "minhash-rest")
-    if not rest.isEmpty():
-        more = overlapping(rest, members, docs, key, text, words, percent)
+    families = materialise(leftovers(shared, centres, joined, members, percent), "minhash-rest")
+    if not families.isEmpty():
+        families = components(families, "minhash-families")
+        more = within(families, joined, members, docs, key, text, words, percent)
         links = links.union(materialise(more, "minhash-links"))
         joined = components(links, "minhash-union")
 
@@ -234,6 +239,12 @@ def can_reach(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def agreement(percent: int, registers: int) -> float:
+    """Share of equal registers below which a pair is not looked at again."""
+    t = percent / 100
+    return t - 5 * (t * (1 - t) / registers) ** 0.5
+
+
 def alike(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and signatures allow a link."""
     side = lambda c: members.select(
@@ -246,40 +257,44 @@ def alike(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8) for i in (2, 3))
-                same = (x == y).reshape(b.num_rows, -1).mean(axis=1)
-                good = pa.array(same * 100 >= 0.7 * percent)
+                same = (x == y).reshape(b.num_rows, -1)
+                good = pa.array(same.mean(axis=1) >= agreement(percent, same.shape[1]))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(good)
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def overlapping(
-    pairs: DataFrame, members: DataFrame, docs: DataFrame, key: str, text: str, words: int,
-    percent: int,
-) -> DataFrame:
-    """The pairs whose full sets overlap by ``percent`` of their union.
-
-    Only the texts in question are read into sets again, each once.
-    """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = wanted.join(members, "node").select("row_key", "node", "digest")
+def full_sets(
+    nodes: DataFrame, members: DataFrame, docs: DataFrame, key: str, text: str, words: int
+) -> DataFrame:
+    """(node, runs): the sets of the ``nodes``, from their texts, each read once."""
+    wanted = nodes.join(members, "node").select("row_key", "node", "digest")
     texts = docs.select(row_key(key, text).alias("row_key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, digests, sets = [], [], []
+            found, sets = [], []
             asked = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
             for node, digest, own in asked:
                 s = shingle_set(own, words)
                 if xxhash.xxh3_128_digest(s.tobytes()) == digest:
-                    nodes.append(node), sets.append(s.view(np.int64))
+                    found.append(node), sets.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
+                [pa.array(found, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
                 names=["node", "runs"],
             )
 
     sets = texts.join(wanted, "row_key").select("node", "digest", "text")
-    sets = materialise(sets.mapInArrow(run, "node long, runs array<long>"), "minhash-sets")
+    return materialise(sets.mapInArrow(run, "node long, runs array<long>"), "minhash-sets")
+
+
+def overlapping(
+    pairs: DataFrame, members: DataFrame, docs: DataFrame, key: str, text: str, words: int,
+    percent: int,
+) -> DataFrame:
+    """The pairs whose full sets overlap by ``percent`` of their union."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = full_sets(wanted, members, docs, key, text, words)
     a = sets.select(F.col("node").alias("a"), F.col("runs").alias("runs_a"))
     b = sets.select(F.col("node").alias("b"), F.col("runs").alias("runs_b"))
     both = pairs.join(a, "a").join(b, "b")
@@ -288,16 +303,77 @@ def overlapping(
     return both.where(shared * 100 >= union * percent).select("a", "b").distinct()
 
 
+def grid(placed: DataFrame, lefts: Column, rights: Column, is_left: Column, *keep: str) -> DataFrame:
+    """Rows of a group dealt out to the cells (i, j) of a grid of blocks.
+
+    A row of the left side lies in every cell of one row of the grid, a row of the right side
+    in every cell of one column.  Each cell is a group of its own.
+    """
+    slot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = placed.where(is_left).select(
+        *keep, slot(lefts).alias("i"), every(rights).alias("j"), F.lit(0).alias("side")
+    )
+    right = placed.select(
+        *keep, every(lefts).alias("i"), slot(rights).alias("j"), F.lit(1).alias("side")
+    )
+    return left.union(right)
+
+
+class Labels:
+    """Which rows of a cell are joined already; joining yields the edges of a forest."""
+
+    def __init__(self, node: np.ndarray, root: np.ndarray):
+        self.node = node
+        self.of = np.unique(root, return_inverse=True)[1]  # rows of one component start as one
+        self.edges: list[tuple[int, int]] = []
+
+    def join(self, x: int, ys: np.ndarray) -> None:
+        labels, first = np.unique(self.of[ys], return_index=True)
+        for y in ys[first].tolist():
+            if self.of[y] != self.of[x]:
+                a, b = int(self.node[x]), int(self.node[y])
+                self.edges.append((min(a, b), max(a, b)))
+        self.of[np.isin(self.of, labels)] = self.of[x]
+
+    def batch(self) -> pa.RecordBatch:
+        a, b = zip(*self.edges) if self.edges else ((), ())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]
+        )
+
+
+def blocks(n: Column, size: int) -> Column:
+    return F.ceil(n / F.lit(size)).cast("int")
+
+
+def cell(g: pa.RecordBatch):
+    """Rows of a cell: side, node, root, set size and signature; the left rows; the right."""
+    side, node, root, n = (g.column(c).to_numpy() for c in (3, 4, 5, 6))
+    sig = np.frombuffer(b"".join(g.column(7).to_pylist()), np.uint8).reshape(len(side), -1)
+    return node, root, n, sig, np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+
+def candidates(x: int, ys: np.ndarray, labels: Labels, n, sig, percent: int) -> np.ndarray:
+    ys = ys[labels.of[ys] != labels.of[x]]
+    small, large = np.minimum(n[ys], n[x]), np.maximum(n[ys], n[x])
+    ys = ys[small * 100 >= large * percent]
+    if not len(ys):
+        return ys
+    return ys[(sig[ys] == sig[x]).mean(axis=1) >= agreement(percent, sig.shape[1])]
+
+
 def leftovers(
     shared: DataFrame, centres: DataFrame, joined: DataFrame, members: DataFrame, percent: int
 ) -> DataFrame:
-    """Pairs to test still: in one bucket, in two components, signatures alike.
+    """A forest (a, b) over texts of one bucket and two components whose signatures agree.
 
-    In each bucket the members outside the centre's component face all members, as a grid of
-    blocks; every block pair is one small group of its own, so no task holds a bucket.
+    In each bucket of three or more the members outside the centre's component face all
+    members; in smaller ones every pair has been tested.
     """
     roots = joined.select("node", "root")
-    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = shared.where("size > 2").join(roots, "node", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "node"))
     top = centres.join(roots.withColumnRenamed("node", "centre"), "centre", "left").select(
         "bucket", F.coalesce("root", "centre").alias("main")
     )
@@ -309,36 +385,59 @@ def leftovers(
         ),
         "minhash-leftovers",
     )
-    blocks = lambda n, size: F.ceil(n / F.lit(size)).cast("int")
-    slot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     lefts, alls = blocks(F.col("n_left"), BLOCK_LEFT), blocks(F.col("size"), BLOCK_ALL)
-    left_side = placed.where("left").select(
-        "bucket", slot(lefts).alias("i"), F.explode(F.sequence(F.lit(0), alls - 1)).alias("j"),
-        F.lit(0).alias("side"), "node", "root",
-    )
-    all_side = placed.select(
-        "bucket", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), slot(alls).alias("j"),
-        F.lit(1).alias("side"), "node", "root",
-    )
-    cells = left_side.union(all_side).join(members.select("node", "n", "signature"), "node")
+    cells = grid(placed, lefts, alls, F.col("left"), "bucket", "node", "root")
+    cells = cells.join(members.select("node", "n", "signature"), "node")
     cells = cells.select("bucket", "i", "j", "side", "node", "root", "n", "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 3):
-            side, node, root, n = (g.column(c).to_numpy() for c in (3, 4, 5, 6))
-            sig = np.frombuffer(b"".join(g.column(7).to_pylist()), np.uint8).reshape(len(side), -1)
-            right = np.flatnonzero(side == 1)
-            for x in np.flatnonzero(side == 0):
-                ys = right[root[right] != root[x]]
-                small, large = np.minimum(n[ys], n[x]), np.maximum(n[ys], n[x])
-                ys = ys[small * 100 >= large * percent]
-                if len(ys):
-                    ys = ys[(sig[ys] == sig[x]).mean(axis=1) * 100 >= 0.7 * percent]
+            node, root, n, sig, left, right = cell(g)
+            labels = Labels(node, root)
+            for x in left:
+                ys = candidates(x, right, labels, n, sig, percent)
                 if len(ys):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(node[ys], node[x])), pa.array(np.maximum(node[ys], node[x]))],
-                        names=["a", "b"],
-                    )
+                    labels.join(x, ys)
+            yield labels.batch()
 
     dealt = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def within(
+    families: DataFrame, joined: DataFrame, members: DataFrame, docs: DataFrame, key: str,
+    text: str, words: int, percent: int,
+) -> DataFrame:
+    """A forest of links between texts of one family and two components."""
+    sets = full_sets(families.select("node"), members, docs, key, text, words)
+    sizes = families.groupBy("root").agg(F.count("*").alias("size"))
+    placed = families.join(sizes, "root").withColumnRenamed("root", "family")
+    placed = placed.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    n = blocks(F.col("size"), BLOCK_SETS)
+    cells = grid(placed, n, n, F.lit(True), "family", "node", "root").where("i <= j")
+    cells = cells.join(members.select("node", "n", "signature"), "node").join(sets, "node")
+    cells = cells.select("family", "i", "j", "side", "node", "root", "n", "signature", "runs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, 3):
+            node, root, n, sig, left, right = cell(g)
+            runs, ends = g.column(8).flatten().to_numpy(), np.concatenate([[0], np.cumsum(n)])
+            labels = Labels(node, root)
+            for x in left:
+                ys = candidates(x, right, labels, n, sig, percent)
+                own = runs[ends[x] : ends[x + 1]]  # sorted as unsigned numbers
+                linked = [y for y in ys if common(own, runs[ends[y] : ends[y + 1]], percent)]
+                if linked:
+                    labels.join(x, np.array(linked))
+            yield labels.batch()
+
+    dealt = cells.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def common(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets, sorted as unsigned numbers, overlap by ``percent`` of their union."""
+    x, y = x.view(np.uint64), y.view(np.uint64)
+    at = np.searchsorted(x, y)
+    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)

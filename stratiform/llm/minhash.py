@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import bound_batches, components, groups
+from .common import WORDS, bound_batches, components, groups
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint64(2**64 - 1)
@@ -239,6 +239,22 @@ def can_reach(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def without_near_duplicates(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options
+) -> DataFrame:
+    """``docs`` with one document of each group of :func:`near_duplicates`, all columns.
+
+    The row with the least key stays; of rows that repeat key and text, one.  Texts without
+    words link with nothing, so every such row stays.
+    """
+    found = near_duplicates(docs, key=key, text=text, **options)
+    keep = found.where("first and n_shingles > 0").select(F.col("row_key").alias("_row_key")).distinct()
+    has_words = F.coalesce(F.col(text).rlike(WORDS), F.lit(False))
+    named = docs.where(has_words).withColumn("_row_key", row_key(key, text))
+    one = named.join(keep, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    return one.unionByName(docs.where(~has_words))
+
+
 def agreement(percent: int, registers: int) -> float:
     """Share of equal registers below which a pair is not looked at again."""
     t = percent / 100

@@ -162,3 +162,10 @@ SELECT e.vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(r.i
   e.vec_id = min(r.id) AS kept
 FROM e JOIN reach r USING (vec_id) LEFT JOIN n ON n.x = e.vec_id GROUP BY e.vec_id
 """
+
+
+@register
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(read(spark, folder, "embeddings"))

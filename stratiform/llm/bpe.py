@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bound_batches, with_fields
@@ -256,7 +257,7 @@ def encode(
     if ids:
         added["ids"] = "array<int>"
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    source = docs.select(*keep, docs[text].alias("_text"))
+    source = docs.select(*keep, F.col(text).alias("__text"))
     schema = with_fields(T.StructType(source.schema.fields[:-1]), **added)
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
 

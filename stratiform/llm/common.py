@@ -49,7 +49,7 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, str], p
     """
     spark = df.sparkSession
     names = list(sums)
-    schema = with_fields(df.schema, _range="int", **{n: "long" for n in names})
+    schema = with_fields(df.schema, __range="int", **{n: "long" for n in names})
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -64,23 +64,23 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, str], p
                 ends = np.cumsum(v) + total[n]
                 arrays.append(pa.array(ends - v))
                 total[n] = int(ends[-1]) if len(ends) else total[n]
-            yield pa.RecordBatch.from_arrays(arrays, names=b.schema.names + ["_range", *names])
+            yield pa.RecordBatch.from_arrays(arrays, names=b.schema.names + ["__range", *names])
 
     dealt = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     stored = materialise(dealt.mapInArrow(add_up, schema), purpose)
     last = [
         F.max(F.col(n) + (F.lit(1) if sums[n] == "*" else F.col(sums[n]))).alias(n) for n in names
     ]
-    ends = sorted(stored.groupBy("_range").agg(*last).collect())
+    ends = sorted(stored.groupBy("__range").agg(*last).collect())
     at, offsets = [0] * len(names), []
     for r in ends:
-        offsets.append((r["_range"], *at))
+        offsets.append((r["__range"], *at))
         at = [a + r[n] for a, n in zip(at, names)]
-    shape = "_range int, " + ", ".join(f"_before_{n} long" for n in names)
+    shape = "__range int, " + ", ".join(f"__before_{n} long" for n in names)
     table = F.broadcast(spark.createDataFrame(offsets, shape))  # a row per shuffle partition
-    whole = stored.join(table, "_range")
-    return whole.withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in names}).drop(
-        "_range", *(f"_before_{n}" for n in names)
+    whole = stored.join(table, "__range")
+    return whole.withColumns({n: F.col(n) + F.col(f"__before_{n}") for n in names}).drop(
+        "__range", *(f"__before_{n}" for n in names)
     )
 
 

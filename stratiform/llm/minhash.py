@@ -248,11 +248,11 @@ def without_near_duplicates(
     words link with nothing, so every such row stays.
     """
     found = near_duplicates(docs, key=key, text=text, **options)
-    keep = found.where("first and n_shingles > 0").select(F.col("row_key").alias("_row_key")).distinct()
+    keep = found.where("first and n_shingles > 0").select(F.col("row_key").alias("__row_key")).distinct()
     has_words = F.coalesce(F.col(text).rlike(WORDS), F.lit(False))
-    named = docs.where(has_words).withColumn("_row_key", row_key(key, text))
-    one = named.join(keep, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
-    return one.unionByName(docs.where(~has_words))
+    named = docs.where(has_words).withColumn("__row_key", row_key(key, text))
+    one = named.join(keep, "__row_key", "left_semi").dropDuplicates(["__row_key"])
+    return one.select(*docs.columns).unionByName(docs.where(~has_words))
 
 
 def agreement(percent: int, registers: int) -> float:

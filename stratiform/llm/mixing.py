@@ -133,13 +133,13 @@ def take(docs: DataFrame, plan: DataFrame, *, key: str = "doc_id", source: str =
     Texts are shuffled once, by document; a repeated document is the long side of a join
     against unique rows, which Spark splits when it is skewed.
     """
+    own = [F.col(source), F.col(key), F.col("_digest")]
     p = plan.where("copies > 0").select(
-        F.xxhash64(F.col(source), F.col(key), "_digest").alias("_entry"),
-        F.struct(F.col(source), F.col(key), F.col("_digest")).alias("_p"), "copies",
+        F.xxhash64(*own).alias("__entry"), F.struct(*own).alias("__own"),
+        F.col("copies").alias("__copies"),
     )
-    own = F.struct(F.col(source), F.col(key), digest(text))
-    entry = F.xxhash64(F.col(source), F.col(key), digest(text))
-    d = docs.withColumn("_entry", entry)
-    both = d.join(p, (d["_entry"] == p["_entry"]) & own.eqNullSafe(p["_p"]))
-    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return both.withColumn("_copy", copy).select(*[d[c] for c in docs.columns])
+    here = [F.col(source), F.col(key), digest(text)]
+    d = docs.select(*docs.columns, F.xxhash64(*here).alias("__mine"), F.struct(*here).alias("__it"))
+    both = d.join(p, (F.col("__mine") == F.col("__entry")) & F.col("__it").eqNullSafe(F.col("__own")))
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
+    return both.select(*docs.columns, copy.alias("__copy")).drop("__copy")

@@ -268,7 +268,9 @@ def replaced(match: Column, secret: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, secret: str, *, text: str = "text") -> DataFrame:
+def pseudonymise(
+    docs: DataFrame, secret: str, *, text: str = "text", found_as: str = "pii"
+) -> DataFrame:
     """Replace personal data in whole texts; add ``pii``, the kinds and pseudonyms in order.
 
     Finds e-mail addresses, IPv4 addresses, dates, social security numbers, card numbers
@@ -281,8 +283,8 @@ def pseudonymise(docs: DataFrame, secret: str, *, text: str = "text") -> DataFra
 
     Defined results: a NULL text stays NULL and has NULL ``pii``; an empty text and one
     without personal data stay as they are with an empty ``pii``; rows that repeat and extra
-    columns are untouched, but for a column ``pii`` of ``docs``, which is replaced; numbers
-    that fail validation and dates outside 1600 to 2399 stay; an empty table stays empty.
+    columns are untouched, but for a column ``found_as`` of ``docs``, which is replaced;
+    numbers that fail validation and dates outside 1600 to 2399 stay; an empty table stays empty.
     """
     nothing = "array<struct<kind:string,pseudonym:string>>"
     may = F.col(text).rlike("[0-9@]")
@@ -309,7 +311,7 @@ def pseudonymise(docs: DataFrame, secret: str, *, text: str = "text") -> DataFra
 
     changed = F.when(may, with_value(found, rebuilt))
     none = F.when(F.col(text).isNotNull(), F.array().cast(nothing))
-    out = docs.withColumn("_pii", changed)
-    keep = [c for c in docs.columns if c != "pii"]
-    kept = [F.coalesce("_pii.text", c).alias(c) if c == text else F.col(c) for c in keep]
-    return out.select(*kept, F.coalesce("_pii.pii", none).alias("pii"))
+    keep = [c for c in docs.columns if c != found_as]
+    out = docs.select(*keep, changed.alias("__pii"))
+    kept = [F.coalesce("__pii.text", c).alias(c) if c == text else F.col(c) for c in keep]
+    return out.select(*kept, F.coalesce("__pii.pii", none).alias(found_as))

@@ -205,10 +205,15 @@ def presence(counts: np.ndarray) -> np.ndarray:
 
 
 def score(
-    docs: DataFrame, model: Model, *, text: str = "text", reject: float = 0.5
+    docs: DataFrame,
+    model: Model,
+    *,
+    text: str = "text",
+    reject: float = 0.5,
+    names: tuple[str, str, str] = ("severity", "p_toxic", "rejected"),
 ) -> DataFrame:
     """Add ``severity`` (the expected grade), ``p_toxic`` (of any grade above 0) and
-    ``rejected`` (``p_toxic`` of at least ``reject``) to whole texts.
+    ``rejected`` (``p_toxic`` of at least ``reject``) to whole texts, under those ``names``.
 
     A map without shuffle; the model (bounded by its number of features) goes along.
     Defined results: NULL and empty texts have no features; rows that repeat, ties and other
@@ -217,9 +222,9 @@ def score(
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    added = {"severity": "double", "p_toxic": "double", "rejected": "boolean"}
+    added = dict(zip(names, ("double", "double", "boolean")))
     keep = [c for c in docs.columns if c not in added]
-    source = docs.select(*keep, docs[text].alias("_text"))
+    source = docs.select(*keep, F.col(text).alias("__text"))
     schema = with_fields(T.StructType(source.schema.fields[:-1]), **added)
     shared = spark.sparkContext.broadcast(model)
 

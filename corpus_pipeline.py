@@ -24,8 +24,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the graded model does not reject."""
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    graded = score(docs, fit(docs, labels))
-    return graded.where(~F.col("rejected")).select(*docs.columns)
+    graded = score(docs, fit(docs, labels), names=("__severity", "__p_toxic", "__rejected"))
+    return graded.where(~F.col("__rejected")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Personal data replaced; ``n_chars`` follows the new text."""
-    clean = pseudonymise(docs, SECRET).select(*docs.columns)
+    clean = pseudonymise(docs, SECRET, found_as="__pii_found").select(*docs.columns)
     if "n_chars" not in docs.columns:
         return clean
     kind = docs.schema["n_chars"].dataType

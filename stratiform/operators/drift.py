@@ -21,6 +21,7 @@ QUARANTINE = struct(
     "quarantined_at timestamp, resolved_by string, resolved_at timestamp, resolution_note string"
 )
 ADDITIVE, BREAKING = "ADDITIVE", "BREAKING"
+ADDED, REMOVED, RETYPED, UNCHANGED = "ADDED", "REMOVED", "RETYPED", "UNCHANGED"
 IGNORED = {*BRONZE_META, "_schema_changes", "_bucket"}
 
 
@@ -32,35 +33,40 @@ class BreakingDrift(ValueError):
         self.record = record
 
 
+def column_changes(existing: T.StructType, incoming: T.StructType) -> dict[str, str]:
+    """What became of each column of either schema, but for provenance columns."""
+    before, after = (
+        {f.name: f.dataType for f in schema if f.name not in IGNORED}
+        for schema in (existing, incoming)
+    )
+
+    def change(name: str) -> str:
+        if name not in after:
+            return REMOVED
+        if name not in before:
+            return ADDED
+        return UNCHANGED if before[name] == after[name] else RETYPED
+
+    return {name: change(name) for name in {**before, **after}}
+
+
 def detect_drift(existing: T.StructType | None, incoming: T.StructType) -> dict:
-    """Compare two schemas; provenance columns are ignored."""
-    if existing is None:
-        return dict(
-            new_table=True, additive=[], breaking=[], unchanged=[], type_changes=[], removed_cols=[]
-        )
-    old = {f.name: f.dataType for f in existing if f.name not in IGNORED}
-    new = {f.name: f.dataType for f in incoming if f.name not in IGNORED}
-    retyped = [c for c, t in old.items() if c in new and new[c] != t]
-    removed = [c for c in old if c not in new]
-    return {
-        "new_table": False,
-        "additive": [c for c in new if c not in old],
-        "breaking": retyped + removed,
-        "unchanged": [c for c in old if c in new and c not in retyped],
-        "type_changes": retyped,
-        "removed_cols": removed,
+    """The changes by kind.  Added columns are additive, retyped and removed ones break."""
+    changes = {} if existing is None else column_changes(existing, incoming)
+    kinds = {
+        "additive": (ADDED,),
+        "breaking": (RETYPED, REMOVED),
+        "unchanged": (UNCHANGED,),
+        "type_changes": (RETYPED,),
+        "removed_cols": (REMOVED,),
     }
+    found = {k: [c for c, change in changes.items() if change in own] for k, own in kinds.items()}
+    return {"new_table": existing is None, **found}
 
 
 def drift_frame(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """The comparison as rows: column, kind, both types, and non-null rows on either side."""
-    drift = detect_drift(existing.schema, incoming.schema)
-    kinds = {
-        **dict.fromkeys(drift["additive"], "ADDED"),
-        **dict.fromkeys(drift["type_changes"], "RETYPED"),
-        **dict.fromkeys(drift["removed_cols"], "REMOVED"),
-        **dict.fromkeys(drift["unchanged"], "UNCHANGED"),
-    }
+    kinds = column_changes(existing.schema, incoming.schema)
 
     def filled(df, name):
         cols = [c for c in df.columns if c in kinds]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.masks import MASKS
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..spec import struct
 
 # Layout of the audit log.
@@ -98,23 +99,22 @@ def sla_check(audit: DataFrame, stage: str, max_age: str, as_of, lookback: str =
     )
 
 
-def lineage(
-    edges: DataFrame, start: Sequence[str], direction: str = "downstream", max_depth: int = 100
-) -> DataFrame:
+def lineage(edges: DataFrame, start: Sequence[str], direction: str = "downstream") -> DataFrame:
     """(node, depth): everything reachable from ``start`` along (source, target) edges.
 
-    Breadth first.  Each level is one join of the newest nodes with the edges, minus the
-    nodes seen already, and is appended to a table in the shared folder; the driver only
-    learns whether a level was empty.
+    Breadth first, to whatever depth.  Each level is one join of the newest nodes with the
+    distinct edges (written once), minus the nodes seen already, and is appended to a table
+    in the shared folder; the driver only learns whether a level was empty.
     """
     spark = edges.sparkSession
     near, far = ("source", "target") if direction == "downstream" else ("target", "source")
-    steps = edges.select(F.col(near).alias("_from"), F.col(far).alias("_to"))
+    steps = edges.select(F.col(near).alias("_from"), F.col(far).alias("_to")).distinct()
+    steps = materialise(steps, "lineage-edges")
     path = scratch_path(spark, "lineage")
     schema = "node string, depth int"
     first = spark.createDataFrame([(n, 0) for n in start], schema)
     first.write.parquet(f"{path}/depth=0")
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         seen = spark.read.schema(schema).parquet(path)
         newest = seen.filter(F.col("depth") == depth - 1).select("node")
         found = steps.join(newest, steps["_from"] == newest["node"], "left_semi")
@@ -127,8 +127,6 @@ def lineage(
         fresh.write.parquet(level)
         if spark.read.schema("node string").parquet(level).isEmpty():
             break
-    else:
-        raise RuntimeError(f"lineage is deeper than {max_depth} levels")
     return spark.read.schema(schema).parquet(path)
 
 

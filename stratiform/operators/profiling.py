@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -23,7 +24,7 @@ def _atomic(f: T.StructField) -> bool:
 
 
 def _basics(df: DataFrame, fields: Sequence[T.StructField], distinct) -> DataFrame:
-    """(column_name, data_type, n_rows, null_pct, min_val, max_val, cardinality?) rows."""
+    """(column_name, data_type, n_rows, n_filled, null_pct, min_val, max_val, cardinality?)."""
     total = F.count(F.lit(1))
     aggs = []
     for i, f in enumerate(fields):
@@ -31,6 +32,7 @@ def _basics(df: DataFrame, fields: Sequence[T.StructField], distinct) -> DataFra
             F.lit(f.name).alias("column_name"),
             F.lit(f.dataType.simpleString()).alias("data_type"),
             total.alias("n_rows"),
+            F.count(f.name).alias("n_filled"),
             F.round(F.try_divide(100.0 * (total - F.count(f.name)), total), 1).alias("null_pct"),
         ]
         for name, fn in (("min_val", F.min), ("max_val", F.max)):
@@ -87,7 +89,7 @@ def profile(df: DataFrame, *, approx: bool = False, samples: int = SAMPLES) -> D
         frequent = F.coalesce("_top", F.array().cast("array<string>"))
     shown_range = F.when(F.col("min_val").isNotNull(), F.array("min_val", "max_val"))
     return rows.select(
-        "column_name", "data_type", "n_rows", "null_pct", "cardinality", "min_val", "max_val",
+        "column_name", "data_type", "n_rows", "n_filled", "null_pct", "cardinality", "min_val", "max_val",
         F.coalesce(shown_range, frequent).alias("sample_values"),
     )
 
@@ -126,20 +128,36 @@ def join_keys(catalog: DataFrame) -> DataFrame:
     )
 
 
-def relationships(tables: Mapping[str, DataFrame], suffix: str = "_id") -> list[tuple]:
-    """(parent, child, key) edges: the parent's name contains the key without its suffix."""
-    where: dict[str, list[str]] = {}
-    for t, df in tables.items():
-        for c in df.columns:
-            where.setdefault(c, []).append(t)
-    edges = []
-    for column, found in where.items():
-        if len(found) < 2 or not column.endswith(suffix):
-            continue
-        root = column[: -len(suffix)]
-        parents = [t for t in found if root in t.split(".")[-1]]
-        edges += [(parents[0], t, column) for t in found if parents and t not in parents]
-    return edges
+def key_uses(tables: Mapping[str, DataFrame], suffix: str = "_id") -> DataFrame | None:
+    """(join_key, table_name, most): for each shared key the most rows of one value."""
+    uses = Counter(c for df in tables.values() for c in df.columns if c.endswith(suffix))
+    parts = []
+    for table, df in tables.items():
+        for key in df.columns:
+            if uses[key] > 1:
+                rows = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+                most = rows.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+                parts.append(most.select(F.lit(key).alias("join_key"), F.lit(table).alias("table_name"), "most"))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def relationships(tables: Mapping[str, DataFrame], suffix: str = "_id") -> DataFrame | None:
+    """(from_table, to_table, join_key): one edge per parent and child of a shared key.
+
+    A parent holds every key at most once, as measured.  A small child may do so by chance;
+    so where one of them is named after the key, the others are not taken for parents.
+    """
+    uses = key_uses(tables, suffix)
+    if uses is None:
+        return None
+    key = F.col("join_key")
+    named = F.contains("table_name", F.substring(key, F.lit(1), F.length(key) - len(suffix)))
+    unique = uses.filter("most <= 1").select("join_key", F.col("table_name").alias("from_table"), named.alias("named"))
+    chosen = unique.groupBy("join_key").agg(F.max("named").alias("any_named"))
+    parents = unique.join(chosen, "join_key").filter(F.col("named") | ~F.col("any_named"))
+    children = uses.select("join_key", F.col("table_name").alias("to_table"))
+    edges = parents.join(children, "join_key").filter("from_table <> to_table")
+    return edges.select("from_table", "to_table", "join_key")
 
 
 def join_map(tables: Mapping[str, DataFrame], suffix: str = "_id") -> DataFrame:
@@ -150,7 +168,9 @@ def join_map(tables: Mapping[str, DataFrame], suffix: str = "_id") -> DataFrame:
     parents without children.  One pre-aggregated join per edge.
     """
     parts = []
-    for parent, child, key in relationships(tables, suffix):
+    edges = relationships(tables, suffix)
+    # As many rows as there are pairs of tables that share a key.
+    for parent, child, key in sorted(edges.collect()) if edges is not None else ():
         p = tables[parent].select(key).filter(F.col(key).isNotNull()).distinct()
         p = p.withColumn("_p", F.lit(1))
         c = tables[child].filter(F.col(key).isNotNull()).groupBy(key)

@@ -157,7 +157,7 @@ def unique_rule(rule_id, table, keys: Sequence[str], severity=CRITICAL, **kw) ->
     return _rule(
         rule_id, table, kind, severity, "Uniqueness", ", ".join(keys),
         lambda flag: F.col(flag), {"keys": list(keys)},
-        lambda df, flag, _: mark_by_key(df, keys, duplicate_keys(df, keys), flag), **kw,
+        lambda df, flag, _, bare: mark_by_key(df, keys, duplicate_keys(bare, keys), flag), **kw,
     )
 
 
@@ -167,8 +167,8 @@ def owner_rule(rule_id, table, key, owner, severity=MEDIUM, **kw) -> Rule:
     Smallest and largest owner differ exactly if there are two, so no distinct is needed.
     """
 
-    def attach(df, flag, _):
-        rows = df.filter(~P.is_blank(key))
+    def attach(df, flag, _, bare):
+        rows = bare.filter(~P.is_blank(key))
         shared = rows.groupBy(key).agg(F.min(owner).alias("_lo"), F.max(owner).alias("_hi"))
         return mark_by_key(df, [key], shared.filter("_lo <> _hi"), flag)
 
@@ -181,7 +181,7 @@ def owner_rule(rule_id, table, key, owner, severity=MEDIUM, **kw) -> Rule:
 def fk_rule(rule_id, table, column, parent, parent_column, severity=CRITICAL, **kw) -> Rule:
     """Non-blank key without a parent."""
 
-    def attach(df, flag, tables):
+    def attach(df, flag, tables, _):
         side = tables[parent].select(F.col(parent_column).alias("_k")).distinct()
         return _attach_by_key(df, column, side, F.lit(True), flag)
 
@@ -201,7 +201,7 @@ def table_order_rule(
     Some parent is later exactly if the latest one is, so parents are reduced to that.
     """
 
-    def attach(df, flag, tables):
+    def attach(df, flag, tables, _):
         p = tables[parent]
         side = p.groupBy(F.col(parent_key).alias("_k")).agg(F.max(parent_column).alias("_v"))
         return _attach_by_key(df, key, side, F.col("_v"), flag)
@@ -223,7 +223,7 @@ def discriminator_rule(
     A row without a parent passes, and so does a parent whose type is NULL.
     """
 
-    def attach(df, flag, tables):
+    def attach(df, flag, tables, _):
         p = tables[parent]
         wrong = F.count_if(F.col(type_column) != expected) > 0
         side = p.groupBy(F.col(parent_key).alias("_k")).agg(wrong.alias("_v"))
@@ -251,7 +251,7 @@ def consistency_rule(
     if kind not in ("excludes", "requires"):
         raise ValueError(f"unknown consistency kind: {kind}")
 
-    def attach(df, flag, tables):
+    def attach(df, flag, tables, _):
         side = tables[other].select(F.col(other_key).alias("_k")).distinct()
         return _attach_by_key(df, key, side, F.lit(True), flag)
 
@@ -288,9 +288,12 @@ def _detail(df: DataFrame, rule: Rule) -> Column:
 
 
 def attach_all(df: DataFrame, rules: Sequence[Rule], tables: Tables) -> DataFrame:
+    """Join what the relational rules need.  Keys are grouped on the bare input, of which a
+    rule reads its key columns only; grouping the joined frame would redo all joins per rule."""
+    bare = df
     for r in rules:
         if r.attach is not None:
-            df = r.attach(df, r.flag, tables)
+            df = r.attach(df, r.flag, tables, bare)
     return df
 
 

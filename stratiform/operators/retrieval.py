@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 # Ranking compares cosines rounded to this many digits, so equal vectors tie exactly.
 RANK_DIGITS = 9
+BM25_DIGITS = 12
+# Vectors that meet in one task: 512 x 16384 cosines are 64 MB.
+QUERY_BLOCK, ITEM_SHARD = 512, 16_384
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -21,12 +24,12 @@ def _unit(vectors) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _best(query_ids, scores: np.ndarray, item_ids, k: int, matched: bool = False) -> pd.DataFrame:
-    """The k best items of a batch for every query; ``matched`` leaves out zero scores."""
+def _best(query_ids, scores: np.ndarray, item_ids, k: int) -> pd.DataFrame:
+    """The k best items of a batch for every query."""
     ids = np.asarray(item_ids)
     parts = []
     for q, row in zip(query_ids, scores):
-        pick = np.flatnonzero(row > 0) if matched else np.arange(len(row))
+        pick = np.arange(len(row))
         if len(pick) > k:
             kth = np.partition(row[pick], -k)[-k]
             pick = pick[row[pick] >= kth]
@@ -65,57 +68,40 @@ def vector_topk(
     item_id: str,
     vector: str,
     where: Column | None = None,
-    max_queries: int = 4096,
-    shard_rows: int = 200_000,
 ) -> DataFrame:
     """(query_id, rank, item_id, score): the ``k`` nearest items by cosine, exact.
 
-    Up to ``max_queries`` queries (the number is checked) travel to the tasks as one
-    matrix; items are read where they lie, every batch keeps its ``k`` best per query, and
-    only those are shuffled.  More queries are split into blocks that meet shards of the
-    items in co-grouped tasks of bounded size.  ``score`` is the cosine cut off at zero,
-    to 3 digits; ties go to the smaller item id.
+    Blocks of queries meet shards of items, each pair of them in one co-grouped task of
+    bounded size, which keeps its ``k`` best per query; only those are shuffled again.
+    Items are copied once per block of queries.  ``score`` is the cosine cut off at zero,
+    to 3 digits; ties go to the smaller item id.  NULL vectors take no part on either side.
     """
     if where is not None:
         items = items.filter(where)
     q = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_v"))
     i = items.select(F.col(item_id).alias("_i"), F.col(vector).alias("_v"))
-    i = i.filter(F.col("_v").isNotNull())
+    q, i = (df.filter(F.col("_v").isNotNull()) for df in (q, i))
     out = _triples(q.schema["_q"].dataType, i.schema["_i"].dataType)
-    head = q.limit(max_queries + 1).collect()
-    if len(head) <= max_queries:
-        if head:
-            ids, unit = [r[0] for r in head], _unit([r[1] for r in head])
-        else:
-            ids, unit = [], np.zeros((0, 1))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b) and ids:
-                    yield _nearest(ids, unit, b["_i"], b["_v"], k)
-
-        near = i.mapInPandas(scan, out)
-    else:
-        blocks = -(-q.count() // (max_queries // 2))
-        shards = max(1, -(-i.count() // shard_rows))
-
-        def place(df, key, own, n_own, other, n_other):
-            return df.withColumns(
-                {
-                    own: F.pmod(F.xxhash64(key), F.lit(n_own)),
-                    other: F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))),
-                }
-            )
-
-        left = place(q, "_q", "_b", blocks, "_s", shards).groupBy("_b", "_s")
-        right = place(i, "_i", "_s", shards, "_b", blocks).groupBy("_b", "_s")
-
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"_q": a["_q"][:0], "_i": b["_i"][:0], "_c": []})
-            return _nearest(list(a["_q"]), _unit(a["_v"]), b["_i"], b["_v"], k)
-
-        near = left.cogroup(right).applyInPandas(meet, out)
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    shards = max(1, -(-i.count() // ITEM_SHARD))
+
+    def place(df, key, own, n_own, other, n_other):
+        return df.withColumns(
+            {
+                own: F.pmod(F.xxhash64(key), F.lit(n_own)),
+                other: F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))),
+            }
+        )
+
+    left = place(q, "_q", "_b", blocks, "_s", shards).groupBy("_b", "_s")
+    right = place(i, "_i", "_s", shards, "_b", blocks).groupBy("_b", "_s")
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"_q": a["_q"][:0], "_i": b["_i"][:0], "_c": []})
+        return _nearest(list(a["_q"]), _unit(a["_v"]), b["_i"], b["_v"], k)
+
+    near = left.cogroup(right).applyInPandas(meet, out)
     return _ranked(near, k).select(
         F.col("_q").alias(query_id),
         "rank",
@@ -151,75 +137,19 @@ def bm25(
     text: str,
     k1: float = 1.2,
     b: float = 0.75,
-    max_queries: int = 4096,
 ) -> DataFrame:
     """(query_id, rank, doc_id, score): the ``k`` best documents per query by BM25, exact.
 
-    Up to ``max_queries`` queries (the number is checked) travel to the tasks.  One pass
-    counts how many documents hold each of their terms, a second scores the documents
-    where they lie and keeps the ``k`` best per batch; neither the texts nor the matches
-    are shuffled.  More queries are answered by a join over term frequencies.
+    One plan for any number of queries.  Words are exploded and kept where a query asks for
+    them; their frequencies per document are combined map-side, joined to the terms of the
+    queries (AQE splits a term that very many documents hold) and added up per query and
+    document.  The ``k`` best of each task go on to the last shuffle.  NULL texts are empty
+    documents.  Documents rank by their score to 12 digits, so that equal ones tie whatever
+    the order of the sum; the score shown has 6.
     """
-    head = queries.select(query_id, words(F.col(text)).alias("_w")).limit(max_queries + 1).collect()
-    bag = docs.select(F.col(doc_id).alias("_i"), words(F.col(text)).alias("_w"))
-    if len(head) > max_queries:
-        scored = _bm25_join(bag, queries, query_id, text, k1, b)
-    else:
-        out = _triples(queries.schema[query_id].dataType, docs.schema[doc_id].dataType)
-        scored = _bm25_local(bag, [(r[0], set(r[1])) for r in head], out, k, k1, b)
-    return _ranked(scored, k).select(
-        F.col("_q").alias(query_id), "rank", F.col("_i").alias(doc_id), F.col("_c").alias("score")
+    bag = docs.select(
+        F.col(doc_id).alias("_i"), F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_w")
     )
-
-
-def _bm25_local(bag: DataFrame, queries: list, out: T.StructType, k: int, k1: float, b: float):
-    vocabulary = {t: n for n, t in enumerate(sorted(set().union(*[w for _, w in queries])))}
-    size = len(vocabulary)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Documents per term; the last two cells hold all documents and their words.
-        held = np.zeros(size + 2, dtype=np.int64)
-        for batch in batches:
-            for found in batch["_w"]:
-                for t in set(found):
-                    if t in vocabulary:
-                        held[vocabulary[t]] += 1
-                held[size] += 1
-                held[size + 1] += len(found)
-        yield pd.DataFrame({"t": np.arange(size + 2), "n": held})
-
-    held = np.zeros(size + 2)
-    for row in bag.mapInPandas(count, "t bigint, n bigint").groupBy("t").agg(F.sum("n")).collect():
-        held[row[0]] = row[1]
-    n_docs, avg_len = held[size], held[size + 1] / max(held[size], 1)
-    idf = np.log((n_docs - held[:size] + 0.5) / (held[:size] + 0.5) + 1)
-    ids = [q for q, _ in queries]
-    asked = np.zeros((len(queries), size))
-    for row, (_, found) in zip(asked, queries):
-        cells = [vocabulary[t] for t in found]
-        row[cells] = idf[cells]
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            # At most about 8 MB of term counts at a time, whatever the vocabulary.
-            step = max(1, 1_000_000 // max(size, 1))
-            for start in range(0, len(batch), step):
-                part = batch[start : start + step]
-                tf = np.zeros((len(part), size))
-                for row, found in zip(tf, part["_w"]):
-                    cells = [vocabulary[t] for t in found if t in vocabulary]
-                    row += np.bincount(cells, minlength=size) if cells else 0
-                length = part["_w"].map(len).to_numpy()[:, None]
-                weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / max(avg_len, 1e-9)))
-                scores = np.round(asked @ weight.T, 6)
-                if ids:
-                    yield _best(ids, scores, part["_i"], k, matched=True)
-
-    return bag.mapInPandas(score, out)
-
-
-def _bm25_join(bag: DataFrame, queries: DataFrame, query_id: str, text: str, k1: float, b: float):
-    """Term frequencies of the wanted terms only, combined map-side, joined to the queries."""
     terms = queries.select(
         F.col(query_id).alias("_q"), F.explode(F.array_distinct(words(F.col(text)))).alias("_t")
     )
@@ -239,8 +169,11 @@ def _bm25_join(bag: DataFrame, queries: DataFrame, query_id: str, text: str, k1:
     parts = tf.withColumn("_x", weight).join(
         terms.join(held.select("_t", idf.alias("_idf")), "_t"), "_t"
     )
-    return parts.groupBy("_q", "_i").agg(
-        F.round(F.sum(F.col("_idf") * F.col("_x")), 6).alias("_c")
+    scored = parts.groupBy("_q", "_i").agg(
+        F.round(F.sum(F.col("_idf") * F.col("_x")), BM25_DIGITS).alias("_c")
+    )
+    return _ranked(scored, k).select(
+        F.col("_q").alias(query_id), "rank", F.col("_i").alias(doc_id), F.round("_c", 6).alias("score")
     )
 
 

@@ -53,6 +53,7 @@ def ingest_table(
         return _ingest_buckets(spark, spec, root, batch_id, rows, source.schema, at)
     table = SnapshotTable(spark, f"{root}/{spec.name}")
     if not table.exists():
+        _guard(spark, spec, root, batch_id, None, source.schema, at)
         n = table.write(rows, "CREATE", at=at, partition_by=spec.partition_by)
         return (spec.name, "CREATE", n, "SUCCESS", None)
     old = table.read()
@@ -70,8 +71,11 @@ def ingest_table(
 
 
 def _guard(spark, spec, root, batch_id, old, new, at) -> dict:
-    """Log additive drift; quarantine and raise on a breaking change."""
-    drift = detect_drift(old, new)
+    """Log additive drift; quarantine and raise on a breaking change.
+
+    ``new`` is the schema as delivered.  A first load must bring the declared columns.
+    """
+    drift = detect_drift(spec.schema if old is None else old, new)
     try:
         guard_breaking(spark, drift, batch_id, spec.name, at)
     except BreakingDrift as e:
@@ -86,8 +90,7 @@ def _ingest_buckets(spark, spec, root, batch_id, rows, schema, at) -> tuple:
     """The same load into a bucketed table; counts the delivered rows on the way."""
     path = f"{root}/{spec.name}"
     old = read_if_exists(spark, path)
-    if old is not None:
-        _guard(spark, spec, root, batch_id, old.schema, schema, at)
+    _guard(spark, spec, root, batch_id, None if old is None else old.schema, schema, at)
     rows = materialise(rows, f"delivery-{spec.name}")
     upsert_buckets(spark, path, rows, spec.key, buckets=spec.buckets)
     return (spec.name, "CREATE" if old is None else "MERGE", rows.count(), "SUCCESS", None)

@@ -9,6 +9,7 @@ from . import files, jdbc, messages, paged
 
 
 def _files(spark: SparkSession, spec: TableSpec, cfg: dict) -> DataFrame:
+    """Files as they were delivered: their own columns, so that a changed schema is seen."""
     base = cfg["path"].rstrip("/")
     path = f"{base}/{cfg['file']}" if cfg.get("file") else base
     kind = cfg.get("format", "csv")
@@ -16,9 +17,9 @@ def _files(spark: SparkSession, spec: TableSpec, cfg: dict) -> DataFrame:
         return files.read_csv(spark, path, spec.schema, delimiter=cfg.get("delimiter", ","))
     if kind == "parquet":
         merge = str(cfg.get("options", {}).get("mergeSchema", "false")).lower() == "true"
-        return files.read_parquet(spark, path, None if merge else spec.schema, merge)
+        return files.read_parquet(spark, path, None, merge)
     if kind == "json":
-        return files.read_json(spark, path, spec.schema, cfg.get("multi_line", True))
+        return files.read_json_as_delivered(spark, path, spec.schema, cfg.get("multi_line", True))
     raise ValueError(f"Unsupported file format: {kind}")
 
 
@@ -41,7 +42,7 @@ def _api(spark, spec, cfg):
         f"paged_{spec.name}",
         cfg["fetch"],
         spec.schema,
-        pages=cfg["max_pages"],
+        pages=cfg["max_pages"],  # a full last page fails: there may be more
         page_size=cfg["page_size"],
         response_path=cfg.get("response_path", ""),
     )

@@ -34,7 +34,8 @@ def paged_source(
 ) -> type[DataSource]:
     """A data source class that asks ``fetch(page, page_size)`` for each page's JSON text.
 
-    ``fetch`` runs in the executors.  A page past the end may be empty.
+    ``fetch`` runs in the executors.  A page past the end may be empty; if the last one
+    allowed is full, the read fails, for rows beyond ``pages`` would be lost.
     """
     names = schema.names
 
@@ -44,6 +45,8 @@ def paged_source(
 
         def read(self, partition) -> Iterator[tuple]:
             items = dig(json.loads(fetch(partition.number, page_size) or "{}"), response_path)
+            if partition.number == pages - 1 and len(items) >= page_size:
+                raise ValueError(f"{name}: page {pages} of at most {pages} is full; allow more pages")
             return (tuple(item.get(n) for n in names) for item in items)
 
     class Paged(DataSource):

@@ -36,14 +36,6 @@ class Tables:
         self.__dict__[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self.__dict__[name]
 
-    @cached_property
-    def texts(self) -> DataFrame:
-        """The documents, dealt out to all cores where a few files would keep them in a few
-        tasks; work on texts is heavy per row.  A table of many files is read as it lies."""
-        docs = self.documents
-        cores = self.spark.sparkContext.defaultParallelism
-        return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
-
     def view(self, sql: str) -> DataFrame:
         """A derived input: SQL over the test tables that reads the same in both engines."""
         used = {n: getattr(self, n) for n in TABLES if f"{{{n}}}" in sql}

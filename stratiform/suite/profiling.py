@@ -34,7 +34,7 @@ def _profile_sql(table: str, columns: dict[str, str]) -> str:
             samples = f"concat({lo}, ' / ', {hi})"
         parts.append(
             f"SELECT '{table}' AS table_name, '{c}' AS column_name, '{kind}' AS data_type, "
-            f"count(*) AS n_rows, round(100.0 * (count(*) - count({c})) / count(*), 1) AS null_pct, "
+            f"count(*) AS n_rows, count({c}) AS n_filled, round(100.0 * (count(*) - count({c})) / count(*), 1) AS null_pct, "
             f"count(DISTINCT {c}) AS cardinality, {lo} AS min_val, {hi} AS max_val, "
             f"{samples} AS samples FROM {table}"
         )
@@ -164,8 +164,7 @@ def column_catalog(t: Tables) -> DataFrame:
     """The catalogue, with the number of filled cells of every column."""
     frames = _frames(t)
     counts = p.profile_tables(frames, approx=True)
-    filled = F.round(F.col("n_rows") * (100 - F.col("null_pct")) / 100).cast("bigint")
-    counts = counts.select("table_name", "column_name", filled.alias("filled"))
+    counts = counts.select("table_name", "column_name", F.col("n_filled").alias("filled"))
     return (
         catalog_of(t.spark, frames)
         .select("layer", "table_name", "column_name", "data_type", "doc")

@@ -43,7 +43,7 @@ chunks AS (SELECT doc_id, source, CAST(unnest(range(len(c))) AS INTEGER) AS chun
 
 def _chunks(t: Tables) -> DataFrame:
     source = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
-    return tx.chunk(t.texts, source, "text", F.col("source"))
+    return tx.chunk(t.documents, source, "text", F.col("source"))
 
 
 @query(
@@ -116,7 +116,7 @@ FROM documents WHERE contains(text, '{n}')"""
     headline=True,
 )
 def find_mentions(t: Tables) -> DataFrame:
-    return tx.find_mentions(t.texts, ["doc_id"], "text", MENTIONED)
+    return tx.find_mentions(t.documents, ["doc_id"], "text", MENTIONED)
 
 
 # --- retrieval ------------------------------------------------------------------------------
@@ -161,7 +161,7 @@ def vector_topk_filtered(t: Tables) -> DataFrame:
     items = t.embeddings.withColumnRenamed("label", "item_label")
     return r.vector_topk(
         _centroids(t), items, 3, query_id="label", item_id="vec_id", vector="embedding",
-        where=F.col("item_label") >= 5, max_queries=4, shard_rows=100,
+        where=F.col("item_label") >= 5
     )
 
 
@@ -186,15 +186,16 @@ tokens AS (SELECT doc_id, len(w) AS n_words, unnest(w) AS t FROM w),
 tf AS (SELECT doc_id, n_words, t, count(*) AS tf FROM tokens WHERE t IN (SELECT t FROM terms) GROUP BY 1, 2, 3),
 df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
 scored AS (SELECT item_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1)
-    * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_words / avg_len))), 6) AS score
+    * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_words / avg_len))), 12) AS exact
   FROM terms JOIN df USING (t) JOIN tf USING (t), sizes GROUP BY item_id, doc_id),
-bm AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+bm AS (SELECT item_id, doc_id, rank, round(exact, 6) AS score FROM (SELECT *,
+  CAST(row_number() OVER (PARTITION BY item_id ORDER BY exact DESC, doc_id) AS INTEGER) AS rank
   FROM scored) WHERE rank <= 10)
 """
 
 
 def _bm25(t: Tables) -> DataFrame:
-    return r.bm25(t.texts, t.benchmark, 10, doc_id="doc_id", query_id="item_id", text="text")
+    return r.bm25(t.documents, t.benchmark, 10, doc_id="doc_id", query_id="item_id", text="text")
 
 
 @query(f"WITH {_BM25} SELECT item_id, rank, doc_id, score FROM bm", headline=True)
@@ -204,10 +205,8 @@ def bm25(t: Tables) -> DataFrame:
 
 @query(f"WITH {_BM25} SELECT item_id, rank, doc_id, score FROM bm WHERE rank <= 3")
 def bm25_joined(t: Tables) -> DataFrame:
-    """The way for more queries than one task may hold."""
-    return r.bm25(
-        t.texts, t.benchmark, 3, doc_id="doc_id", query_id="item_id", text="text", max_queries=0
-    )
+    """Fewer results per query."""
+    return r.bm25(t.documents, t.benchmark, 3, doc_id="doc_id", query_id="item_id", text="text")
 
 
 @query(

@@ -70,7 +70,7 @@ def main() -> int:
     from stratiform.session import build_session
 
     spark = build_session(
-        "oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+        "oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                  "spark.driver.memory": "8g"}
     )
     spark.sparkContext.setLogLevel("ERROR")

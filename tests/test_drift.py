@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratiform.operators import drift as d
+from stratiform.operators.sinks import SnapshotTable
+from stratiform.plans.ingest import ingest_table
+from stratiform.spec import TableSpec
 
 
 @pytest.fixture
@@ -63,3 +66,44 @@ def test_resolution_touches_one_batch(spark, rows):
     )
     done = d.resolve(q, "b1", "me", "fixed", datetime(2024, 1, 2))
     assert rows(done, "batch_id", "resolved_by") == [("b1", "me"), ("b2", None)]
+
+
+def deliver(spark, folder, kind, df):
+    if kind == "csv":
+        df.write.option("header", True).csv(folder)
+    else:
+        getattr(df.write, kind)(folder)
+    return {"type": "volume", "format": kind, "path": folder, "multi_line": False}
+
+
+@pytest.mark.parametrize("kind", ["csv", "parquet", "json"])
+def test_drift_is_seen_in_the_delivered_files(spark, base, rows, tmp_path, kind):
+    root = str(tmp_path / "bronze")
+    schema = "product_id type status issue_price".split()
+
+    def load(batch, df):
+        source = deliver(spark, str(tmp_path / batch), kind, df)
+        spec = TableSpec("t", base.schema, ("product_id",), source)
+        ingest_table(spark, spec, root, batch, at=datetime(2024, 1, int(batch[1:])))
+        return SnapshotTable(spark, f"{root}/t").read()
+
+    reordered = base.select(*reversed(schema))
+    first = rows(load("b1", reordered), *schema)
+    assert first == rows(base, *schema)  # by name, not by place
+    wider = load("b2", base.withColumn("extra", F.lit("x")).select("extra", *schema))
+    assert rows(wider, "product_id", "extra") == [("P001", None), ("P002", None)] or rows(
+        wider, "product_id", "extra"
+    ) == [("P001", "x"), ("P002", "x")]
+    assert spark.read.parquet(f"{root}/_schema_changes").first().columns_affected == "extra"
+    with pytest.raises(ValueError, match="Breaking change"):
+        load("b3", base.withColumn("extra", F.lit("x")).drop("status"))
+    if kind == "parquet":
+        retyped = base.withColumn("issue_price", F.col("issue_price").cast("string"))
+        with pytest.raises(ValueError, match="Breaking change"):
+            load("b4", retyped.withColumn("extra", F.lit("x")))
+
+
+def test_a_first_load_must_bring_the_declared_columns(spark, base, tmp_path):
+    source = deliver(spark, str(tmp_path / "b1"), "csv", base.drop("type"))
+    with pytest.raises(ValueError, match="Breaking change"):
+        ingest_table(spark, TableSpec("t", base.schema, ("product_id",), source), str(tmp_path / "x"), "b1")

@@ -80,6 +80,14 @@ def test_row_rules_take_one_scan(tables):
     assert plan(q.evaluate(tables.orders, rules)).count("Exchange") == 0
 
 
+def test_key_rules_group_the_bare_input(tables):
+    """Five key rules: one wide scan and five narrow ones, not two to the fifth."""
+    keys = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate"]
+    rules = [q.unique_rule(f"U{i}", "t", [k]) for i, k in enumerate(keys)]
+    got = q.evaluate(tables.orders, rules)
+    assert plan(got).count("FileScan") <= 6
+
+
 def test_text_work_stays_in_the_row(tables):
     from stratiform.operators import text as tx
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -70,8 +71,10 @@ def test_mentions_show_the_first_lines(spark, rows):
     assert rows(got) == [(1, "rate", "\n".join(f"rate {i}" for i in range(5)))]
 
 
-@pytest.mark.parametrize("max_queries", [100, 6])
-def test_vector_topk_against_numpy(spark, max_queries):
+@pytest.mark.parametrize("block, shard", [(512, 16384), (5, 50)])
+def test_vector_topk_against_numpy(spark, monkeypatch, block, shard):
+    monkeypatch.setattr(r, "QUERY_BLOCK", block)
+    monkeypatch.setattr(r, "ITEM_SHARD", shard)
     rng = np.random.default_rng(4)
     items = rng.normal(size=(300, 8))
     items[10] = items[20] = items[30]  # equal vectors tie; the smaller id wins
@@ -80,9 +83,8 @@ def test_vector_topk_against_numpy(spark, max_queries):
         [(i, v.tolist()) for i, v in enumerate(m)], f"{n} int, v array<double>"
     )
     got = r.vector_topk(
-        frame(queries, "q"), frame(items, "i"), 5, query_id="q", item_id="i", vector="v",
-        max_queries=max_queries, shard_rows=50,
-    )
+        frame(queries, "q"), frame(items, "i"), 5, query_id="q", item_id="i", vector="v"
+    )
     found = {(x.q, x["rank"]): (x.i, x.score) for x in got.collect()}
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     cos = np.round(unit(queries) @ unit(items).T, 9)
@@ -99,17 +101,37 @@ def test_vector_topk_with_fewer_items_or_no_queries(spark):
     ask = lambda df: r.vector_topk(df, items, 5, query_id="q", item_id="i", vector="v").collect()
     assert [(x.i, x.score) for x in sorted(ask(q), key=lambda x: x["rank"])] == [(1, 1.0), (3, 0.0)]
     assert ask(q.limit(0)) == []
+    both = q.union(spark.createDataFrame([(8, None)], "q int, v array<double>"))
+    assert {x.q for x in ask(both)} == {7}
 
 
-def test_bm25_both_ways_agree(spark, rows):
+def test_bm25_against_its_formula(spark):
     rng = random.Random(2)
-    words = ["alpha", "beta", "gamma", "delta", "Été", "x1"]
-    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 40)))) for i in range(80)] + [(99, "")]
+    words = ["alpha", "beta", "gamma", "delta", "été", "x1"]
+    docs = [(i, " ".join(["every"] + rng.choices(words, k=rng.randrange(1, 40)))) for i in range(80)]
+    docs += [(99, ""), (98, None)]
     d = spark.createDataFrame(docs, "d int, t string")
-    q = spark.createDataFrame([(1, "alpha été"), (2, "gamma, gamma"), (3, "missing")], "q int, t string")
-    ask = lambda n: r.bm25(d, q, 7, doc_id="d", query_id="q", text="t", max_queries=n)
-    local, joined = rows(ask(10)), rows(ask(0))
-    assert local == joined and len(local) == 14
+    asked = {1: {"alpha", "été"}, 2: {"gamma"}, 3: {"missing"}, 4: {"every"}}
+    q = spark.createDataFrame(
+        [(1, "alpha Été"), (2, "gamma, gamma"), (3, "missing"), (4, "every"), (5, None)], "q int, t string"
+    )
+    bags = {i: (t or "").split() for i, t in docs}
+    mean = sum(map(len, bags.values())) / len(bags)
+    held = {w: sum(w in b for b in bags.values()) for w in [*words, "every", "missing"]}
+    want = set()
+    for n, terms in asked.items():
+        scores = []
+        for i, bag in bags.items():
+            s = sum(
+                math.log((len(bags) - held[w] + 0.5) / (held[w] + 0.5) + 1)
+                * bag.count(w) * 2.2 / (bag.count(w) + 1.2 * (0.25 + 0.75 * len(bag) / mean))
+                for w in terms if w in bag
+            )
+            if any(w in bag for w in terms):
+                scores.append((-round(s, 12), i))
+        want |= {(n, r + 1, i) for r, (_, i) in enumerate(sorted(scores)[:7])}
+    got = r.bm25(d, q, 7, doc_id="d", query_id="q", text="t")
+    assert {(x.q, x["rank"], x.d) for x in got.collect()} == want and len(want) == 21
 
 
 def test_surface_or_create(spark, rows):

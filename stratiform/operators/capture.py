@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .merge import all_present, pack
+from .merge import absent_from, all_present, pack
 
 # Operation codes of a change feed.
 DELETE, INSERT, BEFORE, AFTER = 1, 2, 3, 4
@@ -44,6 +44,10 @@ def apply_changes(
 ) -> DataFrame:
     """Apply a batch of changes to a table with unique keys.
 
+    A key that was deleted and comes again is live again, also with the values it had.  A
+    NULL key matches nothing: its after-images are added as rows, with ``hash_col`` only if
+    no such row is there, so that a batch can be applied again.
+
     Per key the newest after-image wins by ``seq``.  If the newest operation is a delete
     the row stays and its ``deleted`` column is set.  Both facts come from one aggregate
     by key with map-side combine, so a key with very many changes costs no more than
@@ -60,7 +64,10 @@ def apply_changes(
     joined = pack(target.filter(present), keys, "_t").join(newest, list(keys), "full_outer")
     keep = F.col("_s").isNull()
     if hash_col is not None:
-        keep = keep | F.col(f"_s.{hash_col}").eqNullSafe(F.col(f"_t.{hash_col}"))
+        same = F.col(f"_s.{hash_col}").eqNullSafe(F.col(f"_t.{hash_col}"))
+        if deleted[0] in columns:
+            same = same & ~F.col(f"_t.{deleted[0]}").eqNullSafe(F.lit(deleted[1]))
+        keep = keep | same
     row = F.when(F.col("_t").isNotNull() & keep, F.col("_t")).otherwise(F.col("_s"))
     out = joined.select(row.alias("_r"), "_last").filter(F.col("_r").isNotNull())
     flag, value = deleted
@@ -71,7 +78,11 @@ def apply_changes(
             for c in columns
         ]
     )
-    return applied.unionByName(target.filter(~present))
+    loose = target.filter(~present)
+    added = changes.filter(~present & image).select(*columns)
+    if hash_col is not None:
+        added = absent_from(loose, added, hash_col)
+    return applied.unionByName(loose).unionByName(added)
 
 
 def advance_checkpoint(

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
 from ..spec import HISTORY_META, OPEN_END
-from .merge import all_present, pack, same_layout, unique_or_fail
+from .merge import absent_from, all_present, pack, same_layout, unique_or_fail
 from .ordered import carry
 from .projections import stamp_current
 
@@ -39,7 +38,10 @@ def scd2_merge(
 
     current = history.filter(F.col("is_current") & all_present(keys))
     untouched = history.filter(~(F.coalesce("is_current", F.lit(False)) & all_present(keys)))
-    loose = opened.filter(~all_present(keys))
+    # A NULL key matches nothing; such rows are told apart by hash, so a repeat adds none.
+    loose = absent_from(
+        untouched.filter(~all_present(keys)), opened.filter(~all_present(keys)), hash_col
+    )
 
     c = pack(current, keys, "_c")
     n = unique_or_fail(opened.filter(all_present(keys)), keys, "_n")
@@ -91,25 +93,19 @@ def history_from_events(
     ts: str,
     tie_break: Sequence[str],
     attrs: Sequence[str],
-    *,
-    slice_by,
 ) -> DataFrame:
     """Intervals from an event list: a version starts where ``attrs`` change and ends where
     the next one starts (NULL while open).
 
-    ``slice_by`` maps the time column to its slice (see :mod:`ordered`).  The changes are
-    written to the shared folder before their ends are looked up: the look-ahead reads them
-    twice and must not repeat the look-back over all events.
+    Look-back and look-ahead go along a global sort (see :mod:`ordered`), so a key with very
+    many events spreads over tasks.
     """
     state = F.struct(*[F.col(a) for a in attrs])
     order = [ts, *tie_break]
     rows = events.select(*dict.fromkeys([*keys, *order, *attrs]))
-    seen = carry(rows, keys, order, state, "_before", slice_by=slice_by(F.col(ts)))
+    seen = carry(rows, keys, order, state, "_before")
     changes = seen.filter(~F.col("_before").eqNullSafe(state)).drop("_before")
-    changes = materialise(changes, "changes")
-    ended = carry(
-        changes, keys, order, F.col(ts), "_end", slice_by=slice_by(F.col(ts)), backwards=True
-    )
+    ended = carry(changes, keys, order, F.col(ts), "_end", backwards=True)
     return ended.select(
         *keys,
         *[a for a in attrs if a not in keys],
@@ -120,12 +116,10 @@ def history_from_events(
 
 
 def check_intervals(
-    history: DataFrame, keys: Sequence[str], start: str, end: str, *, slice_by
+    history: DataFrame, keys: Sequence[str], start: str, end: str
 ) -> DataFrame:
     """Rows that overlap the previous interval of their key or leave a gap after it."""
-    previous = carry(
-        history, keys, [start, end], F.col(end), "previous_end", slice_by=slice_by(F.col(start))
-    )
+    previous = carry(history, keys, [start, end], F.col(end), "previous_end")
     kind = F.when(F.col("previous_end") > F.col(start), "OVERLAP").when(
         F.col("previous_end") < F.col(start), "GAP"
     )
@@ -133,7 +127,3 @@ def check_intervals(
         previous.select(*keys, start, "previous_end", kind.alias("problem"))
         .filter(F.col("problem").isNotNull())
     )
-
-
-def yearly(c: Column) -> Column:
-    return F.year(c)

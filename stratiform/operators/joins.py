@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import is_blank
+from .merge import unique_or_fail
 from .ordered import carry
 
 
@@ -51,8 +52,16 @@ def flatten(root: DataFrame, branches: Sequence[Branch]) -> DataFrame:
 
 
 def lookup(df: DataFrame, ref: DataFrame, df_key: str, ref_key: str, columns: dict) -> DataFrame:
-    """Add reference columns by key; rows without a match keep NULLs."""
-    return flatten(df, [Branch(ref, df_key, ref_key, columns)])
+    """Add reference columns by key; rows without a match keep NULLs.
+
+    The query fails if a key of ``ref`` occurs twice: it would multiply rows.  The check
+    needs the exchange that the join needs anyway.
+    """
+    given = {n: F.col(c) if isinstance(c, str) else c for n, c in columns.items()}
+    side = ref.select(F.col(ref_key).alias("_lk"), *[c.alias(f"_l_{n}") for n, c in given.items()])
+    unique = unique_or_fail(side.filter(F.col("_lk").isNotNull()), ["_lk"], "_row")
+    joined = df.join(unique, df[df_key] == unique["_lk"], "left")
+    return joined.select(df["*"], *[F.col(f"_row._l_{n}").alias(n) for n in columns])
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
@@ -147,16 +156,14 @@ def as_of_join(
     start: str,
     end: str,
     columns: Sequence[str],
-    *,
-    slice_by,
 ) -> DataFrame:
     """Point-in-time lookup: the history row with ``start <= ts < end``.
 
     Facts and version starts are laid on one time line per key and the nearest earlier
     start is carried forward (see :mod:`ordered`), so neither a key with very many facts
     nor one with very many versions meets in a single task, and no fact x version pairs
-    are formed.  History intervals of a key must not overlap.  ``slice_by`` maps the time
-    column to its slice, e.g. ``lambda c: F.date_trunc("month", c)``.
+    are formed.  History intervals of a key must not overlap.  Facts with a NULL key match
+    nothing and go round the time line.
     """
     version = F.struct(F.col(end).alias("_to"), *[F.col(c) for c in columns])
     # A NULL key matches nothing.
@@ -167,7 +174,8 @@ def as_of_join(
         version.alias("_version"),
         F.lit(None).cast(facts.select(F.struct("*")).schema[0].dataType).alias("_fact"),
     )
-    rows = facts.select(
+    loose = facts.filter(F.col(key).isNull())
+    rows = facts.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("_key"),
         F.col(ts).cast("timestamp").alias("_at"),
         F.lit(1).alias("_kind"),
@@ -180,12 +188,13 @@ def as_of_join(
         ["_at", "_kind"],
         F.col("_version"),
         "_hit",
-        slice_by=slice_by(F.col("_at")),
         inclusive=True,
     )
     hit = F.when(F.col("_at") < F.col("_hit._to").cast("timestamp"), F.col("_hit"))
-    return (
+    found = (
         line.filter("_kind = 1")
         .withColumn("_hit", hit)
         .select("_fact.*", *[F.col(f"_hit.{c}").alias(c) for c in columns])
     )
+    none = [F.lit(None).cast(history.schema[c].dataType).alias(c) for c in columns]
+    return found.union(loose.select("*", *none))

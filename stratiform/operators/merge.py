@@ -46,6 +46,13 @@ def same_layout(target: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.select(*[F.col(f.name).cast(f.dataType) for f in target.schema.fields])
 
 
+def absent_from(known: DataFrame, rows: DataFrame, hash_col: str) -> DataFrame:
+    """The ``rows``, each once, whose hash does not occur in ``known``."""
+    seen = known.select(F.col(hash_col).alias("_known")).distinct()
+    once = rows.dropDuplicates([hash_col])
+    return once.join(seen, once[hash_col].eqNullSafe(seen["_known"]), "left_anti")
+
+
 def upsert(
     target: DataFrame,
     incoming: DataFrame,
@@ -58,7 +65,8 @@ def upsert(
     With ``newest_by`` a row that is older than the table's, in these columns, is ignored.
 
     One full outer join on the key.  As in a SQL merge a NULL key matches nothing: such
-    rows bypass the join, which also keeps them from piling up in one partition.
+    rows bypass the join, which also keeps them from piling up in one partition.  They are
+    told apart by their hash, so a delivery can be merged again without adding them twice.
     """
     incoming = same_layout(target, incoming)
     present = all_present(keys)
@@ -72,8 +80,9 @@ def upsert(
         age = lambda side: F.struct(*[F.col(f"{side}.{c}") for c in newest_by])
         keep = keep | (F.col("_t").isNotNull() & (age("_t") > age("_s")))
     merged = joined.select(F.when(keep, F.col("_t")).otherwise(F.col("_s")).alias("_r"))
-    loose = target.filter(~present).unionByName(incoming.filter(~present))
-    return merged.select("_r.*").unionByName(loose)
+    loose = target.filter(~present)
+    added = absent_from(loose, incoming.filter(~present), hash_col)
+    return merged.select("_r.*").unionByName(loose).unionByName(added)
 
 
 # Outcome of comparing two versions of a row.

@@ -62,6 +62,20 @@ def with_bucket(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
     return df.withColumn(BUCKET, F.when(all_present(keys), b).otherwise(F.lit(-1)))
 
 
+def keep_layout(spark: SparkSession, path: str, buckets: int) -> None:
+    """Remember the number of buckets of a table; refuse another number later on.
+
+    The number decides where a key lies, so a load with another one would miss the rows.
+    """
+    where = f"{path}/_layout"  # readers pass over names with an underscore
+    if path_exists(spark, where):
+        kept = spark.read.schema("buckets int").json(where).first()[0]
+        if kept != buckets:
+            raise ValueError(f"{path} has {kept} buckets, not {buckets}; rewrite it to change that")
+    else:
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.json(where)
+
+
 def _changed_buckets(
     table: DataFrame, src: DataFrame, keys: Sequence[str], hash_col: str
 ) -> list[int]:
@@ -72,8 +86,8 @@ def _changed_buckets(
     """
     present = [r[0] for r in src.select(BUCKET).distinct().collect()]
     known = table.filter(F.col(BUCKET).isin(present)).select(*keys, BUCKET, hash_col)
-    same = [src[c] == known[c] for c in (*keys, BUCKET)]
-    same.append(src[hash_col].eqNullSafe(known[hash_col]))
+    same = [src[BUCKET] == known[BUCKET], src[hash_col].eqNullSafe(known[hash_col])]
+    same += [src[c].eqNullSafe(known[c]) for c in keys]
     fresh = src.join(known, same, "left_anti")
     return [r[0] for r in fresh.select(BUCKET).distinct().collect()]
 
@@ -100,7 +114,9 @@ def upsert_buckets(
     src = with_bucket(incoming, keys, buckets)
     if not path_exists(spark, path):
         write_table(src, path, [BUCKET])
+        keep_layout(spark, path, buckets)
         return
+    keep_layout(spark, path, buckets)
     table = spark.read.schema(src.schema).parquet(path)
     touched = _changed_buckets(table, src, keys, hash_col)
     if not touched:
@@ -134,7 +150,9 @@ def scd2_buckets(
     now, past = f"{path}/current", f"{path}/closed"
     if not path_exists(spark, now):
         write_table(stamp_current(src, as_of, rule_version), now, [BUCKET])
+        keep_layout(spark, now, buckets)
         return
+    keep_layout(spark, now, buckets)
     current = spark.read.parquet(now)
     touched = _changed_buckets(current, src, keys, hash_col)
     if not touched:

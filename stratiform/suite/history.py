@@ -144,7 +144,7 @@ FROM s WHERE before IS DISTINCT FROM event_type) """
 def _versions(t: Tables) -> DataFrame:
     events = t.events.select("user_id", "event_id", "ts", "event_type")
     return h.history_from_events(
-        events, ["user_id"], "ts", ["event_id"], ["event_type"], slice_by=F.to_date
+        events, ["user_id"], "ts", ["event_id"], ["event_type"]
     )
 
 
@@ -174,7 +174,7 @@ def check_intervals(t: Tables) -> DataFrame:
     spoilt = _versions(t).select(
         "user_id", F.expr(_SPOIL).alias("start"), F.coalesce("end", open_end).alias("until")
     )
-    return h.check_intervals(spoilt, ["user_id"], "start", "until", slice_by=F.to_date)
+    return h.check_intervals(spoilt, ["user_id"], "start", "until")
 
 
 # --- change capture -------------------------------------------------------------------------

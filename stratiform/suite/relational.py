@@ -14,7 +14,7 @@ from ..operators import joins as J
 from ..operators import projections as pr
 from ..operators import windows as W
 from ..operators.governance import lineage, lineage_edges
-from ..operators.history import history_from_events, yearly
+from ..operators.history import history_from_events
 from ..session import materialise
 from ..spec import struct
 from . import Tables, query
@@ -291,7 +291,7 @@ LEFT JOIN v ON v.partkey = l.l_partkey AND v.start <= CAST(o_orderdate AS DATE)
 )
 def as_of_join(t: Tables) -> DataFrame:
     versions = history_from_events(
-        t.view(PRICES), ["partkey"], "start", [], ["price"], slice_by=yearly
+        t.view(PRICES), ["partkey"], "start", [], ["price"]
     ).withColumn("until", F.coalesce("end", F.lit("9999-12-31").cast("date")))
     history = materialise(versions, "prices")
     facts = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -299,7 +299,7 @@ def as_of_join(t: Tables) -> DataFrame:
         F.to_date("o_orderdate").alias("day"),
     )
     return J.as_of_join(
-        facts, history, "partkey", "day", "start", "until", ["price"], slice_by=yearly
+        facts, history, "partkey", "day", "start", "until", ["price"]
     )
 
 

@@ -113,7 +113,7 @@ def test_history_from_events_merges_equal_neighbours(spark, rows):
         [("k", at(1), 1, "x"), ("k", at(2), 2, "x"), ("k", at(9), 3, None), ("k", at(20), 4, None), ("k", at(30), 5, "x")],
         "k string, ts timestamp, n int, a string",
     )
-    got = h.history_from_events(events, ["k"], "ts", ["n"], ["a"], slice_by=F.to_date)
+    got = h.history_from_events(events, ["k"], "ts", ["n"], ["a"])
     assert rows(got, "a", "start", "end", "is_current") == sorted(
         [("x", at(1), at(9), False), (None, at(9), at(30), False), ("x", at(30), None, True)], key=repr
     )
@@ -124,7 +124,7 @@ def test_intervals_report_gaps_and_overlaps(spark, rows):
     df = spark.createDataFrame(
         [("a", d(1), d(5)), ("a", d(5), d(9)), ("a", d(8), d(12)), ("a", d(20), d(25))], "k string, s date, e date"
     )
-    got = h.check_intervals(df, ["k"], "s", "e", slice_by=lambda c: F.date_trunc("week", c))
+    got = h.check_intervals(df, ["k"], "s", "e")
     assert set(rows(got, "s", "problem")) == {(d(8), "OVERLAP"), (d(20), "GAP")}
 
 

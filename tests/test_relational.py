@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratiform.operators import aggregates as A
 from stratiform.operators import joins as J
+from stratiform.operators import ordered
 from stratiform.operators import windows as W
 from stratiform.operators.ordered import carry
 
@@ -30,11 +31,31 @@ def test_carry_equals_the_plain_window(spark, rows, backwards, inclusive):
     w = Window.partitionBy("k").orderBy(*order)
     w = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     plain = df.withColumn("x", F.last("v", ignorenulls=True).over(w))
-    sliced = carry(
-        df, ["k"], ["at", "seq"], F.col("v"), "x", slice_by=F.to_date("at"),
-        inclusive=inclusive, backwards=backwards,
-    )
-    assert rows(sliced) == rows(plain)
+    ranged = carry(
+        df, ["k"], ["at", "seq"], F.col("v"), "x", inclusive=inclusive, backwards=backwards
+    )
+    assert rows(ranged) == rows(plain)
+
+
+def test_carry_cuts_a_hot_key(spark, monkeypatch):
+    """The key with a third of the rows lies in several ranges of the written table."""
+    written = []
+
+    def keep(df, purpose):
+        written.append(df.cache())
+        return written[-1]
+
+    monkeypatch.setattr(ordered, "materialise", keep)
+    carry(_skewed(spark), ["k"], ["at", "seq"], F.col("v"), "x").count()
+    assert written[0].filter("k = 'hot'").select("_range").distinct().count() > 1
+
+
+def test_lookup_refuses_a_key_that_occurs_twice(spark, rows):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    ref = spark.createDataFrame([(1, "a"), (None, "b"), (None, "c")], "r int, v string")
+    assert rows(J.lookup(df, ref, "k", "r", {"v": "v"})) == [(1, "a"), (2, None), (None, None)]
+    with pytest.raises(Exception, match="duplicate merge key"):
+        J.lookup(df, ref.union(ref), "k", "r", {"v": "v"}).collect()
 
 
 def test_as_of_join_against_brute_force(spark, rows):
@@ -56,7 +77,7 @@ def test_as_of_join_against_brute_force(spark, rows):
     got = J.as_of_join(
         spark.createDataFrame(facts, "k string, d date, i int"),
         spark.createDataFrame(history, "k string, s date, e date, v string"),
-        "k", "d", "s", "e", ["v"], slice_by=lambda c: F.date_trunc("month", c),
+        "k", "d", "s", "e", ["v"],
     )
     assert rows(got) == sorted(want, key=repr)
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from stratiform.functions.hashing import row_hash
 from stratiform.operators import layout, sinks
 from stratiform.operators import quality as q
+from stratiform.operators.capture import apply_changes
 from stratiform.plans.conform import conform_table
 from stratiform.plans.ingest import ingest_all, ingest_table
 from stratiform.session import scratch_path, shared_dir
@@ -270,3 +271,27 @@ def test_compaction_splits_a_hot_value(spark, tmp_path, monkeypatch):
     assert layout.compact(spark, source, target, cluster_by=["x"], target_mb=1) == 12
     per_file = spark.read.parquet(target).groupBy(F.input_file_name()).count()
     assert per_file.agg(F.max("count")).first()[0] < 30_000 / 6
+
+
+def test_bucketed_upserts_can_be_replayed(spark, rows, tmp_path):
+    """Rows with a NULL key come once, however often they are delivered."""
+    path = str(tmp_path / "t")
+    batch = spark.createDataFrame(
+        [("a", "1", "h1"), (None, "2", "h2"), (None, "3", "h3")], "id string, v string, _row_hash string"
+    )
+    for _ in range(3):
+        sinks.upsert_buckets(spark, path, batch, ["id"], buckets=4)
+    assert rows(spark.read.parquet(path), "id", "v") == [("a", "1"), (None, "2"), (None, "3")]
+    with pytest.raises(ValueError, match="has 4 buckets, not 6"):
+        sinks.upsert_buckets(spark, path, batch, ["id"], buckets=6)
+
+
+def test_a_key_deleted_and_inserted_again_is_live(spark, rows):
+    columns = "id string, v string, status string, _row_hash string"
+    table = spark.createDataFrame([("a", "1", "DELETED", "h1")], columns)
+    again = spark.createDataFrame(
+        [("a", "1", "ACTIVE", "h1", 2, 5), (None, "2", "ACTIVE", "h2", 2, 6)], columns + ", _op int, _seq int"
+    )
+    for _ in range(2):
+        table = apply_changes(table, again, ["id"], hash_col="_row_hash")
+    assert rows(table, "id", "status") == [("a", "ACTIVE"), (None, "ACTIVE")]

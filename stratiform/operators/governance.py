@@ -223,20 +223,19 @@ def retention_plan(
 
     Nothing is deleted; layers outside the policy are kept.
     """
-    days = F.coalesce(
-        *[F.when(F.col("layer") == lyr, F.lit(d)) for lyr, d in policy.items() if d is not None]
-    )
+    kept = [F.when(F.col("layer") == lyr, F.lit(d)) for lyr, d in policy.items() if d is not None]
+    days = F.coalesce(F.lit(None).cast("int"), *kept)
     expires = F.date_add("created_on", days)
     day = F.lit(as_of).cast("date")
     return inventory.withColumn("expired_on", expires).filter(F.col("expired_on") <= day)
 
 
 def access_log(log: DataFrame, table: str, n: int) -> DataFrame:
-    """The newest ``n`` reads of a table; equal times go by user."""
+    """The newest ``n`` reads of a table; equal times go by user, then by all columns."""
+    order = dict.fromkeys(["user_id", "action_name", *sorted(log.columns)])
+    order.pop("event_time", None)
     return (
-        log.filter(F.col("table_name") == table)
-        .orderBy(F.desc("event_time"), "user_id", "action_name")
-        .limit(n)
+        log.filter(F.col("table_name") == table).orderBy(F.desc("event_time"), *order).limit(n)
     )
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Z_BITS = 6
+#: Strings drawn to find the cuts of a column.
+SAMPLE = 8192
 
 
 def z_value(df: DataFrame, columns: Sequence[str], bits: int = Z_BITS) -> Column:
@@ -16,21 +18,18 @@ def z_value(df: DataFrame, columns: Sequence[str], bits: int = Z_BITS) -> Column
 
     Each column is cut into ``2**bits`` ranges of about equal size by its approximate
     quantiles, so skewed values spread out too; the range numbers' bits are interleaved.
-    The quantiles are one sketch aggregate whose result is a short list per column.
+    Quantiles of numbers come from a sketch, those of strings from a random sample of
+    ``SAMPLE`` whole values; either way a short list per column reaches the driver.
     """
     cells = 2**bits
-    steps = [i / cells for i in range(1, cells)]
-    edges = df.agg(
-        *[F.percentile_approx(_as_number(df, c), steps, 10_000).alias(c) for c in columns]
-    ).first()
+    cuts_of = {c: _cuts(df, c, cells) for c in columns}
     z = F.lit(0).cast("bigint")
     width = cells.bit_length() - 1
     for i, c in enumerate(columns):
-        cuts = sorted(set(edges[c] or []))
-        cut_array = F.array(*[F.lit(float(x)) for x in cuts]) if cuts else F.array().cast(
-            "array<double>"
+        value = _comparable(df, c)
+        cut_array = F.array(*[F.lit(x) for x in cuts_of[c]]).cast(
+            "array<string>" if _is_text(df, c) else "array<double>"
         )
-        value = _as_number(df, c)
         cell = F.size(F.filter(cut_array, lambda e: e <= value)).cast("bigint")
         cell = F.coalesce(cell, F.lit(0))
         for b in range(width):
@@ -39,18 +38,31 @@ def z_value(df: DataFrame, columns: Sequence[str], bits: int = Z_BITS) -> Column
     return z
 
 
-def _as_number(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType.typeName()
+def _is_text(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.typeName() == "string"
+
+
+def _comparable(df: DataFrame, column: str) -> Column:
+    """A string as it is, anything else as a number."""
     c = F.col(column)
-    if kind in ("date", "timestamp", "timestamp_ntz"):
+    if _is_text(df, column):
+        return c
+    if df.schema[column].dataType.typeName() in ("date", "timestamp", "timestamp_ntz"):
         return F.unix_seconds(c.cast("timestamp")).cast("double")
-    if kind == "string":
-        # The first bytes, read as a number, keep the order of the strings.
-        head = F.rpad(F.hex(F.substring(c, 1, 6)), 12, "0")
-        return F.conv(F.substring(head, 1, 12), 16, 10).cast("double")
     return c.cast("double")
 
 
+def _cuts(df: DataFrame, column: str, cells: int) -> list:
+    """At most ``cells - 1`` values that cut the column into ranges of about equal size."""
+    value = _comparable(df, column)
+    if _is_text(df, column):
+        some = df.filter(F.col(column).isNotNull()).select(value.alias("v"))
+        drawn = sorted(r["v"] for r in some.orderBy(F.rand(7)).limit(SAMPLE).collect())
+        return sorted({drawn[len(drawn) * i // cells] for i in range(1, cells)} if drawn else ())
+    steps = [i / cells for i in range(1, cells)]
+    return sorted(set(df.agg(F.percentile_approx(value, steps, 10_000)).first()[0] or ()))
+
+
 def path_bytes(spark: SparkSession, path: str) -> int:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -6,30 +6,30 @@ from ..operators import quality as q
 
 # Table, column, allowed values, known issues.
 ENUMS = (
-    ("product", "id_type", "CUSIP ISIN SEDOL TICKER BLOOMBERG_ID", "DQ00022"),
-    ("product", "type", "DEBT EQUITY FUND DERIVATIVE RIGHT", ""),
-    ("product", "status", "ACTIVE INACTIVE MATURED SUSPENDED DELISTED", "DQ00023"),
-    ("product", "settlement_type", "T+1 T+2 T+3 CASH", "DQ00024"),
-    ("legal_entity", "legal_structure", "CORP LLC LP TRUST GOVERNMENT", "DQ00005"),
-    ("fund", "endness_type", "OPEN_END CLOSED_END", "DQ00015"),
-    ("fund", "mutual_fund_load_type", "FRONT_LOAD BACK_LOAD NO_LOAD LEVEL_LOAD", ""),
-    ("fund", "mutual_fund_type", "EQUITY FIXED_INCOME BALANCED MONEY_MARKET ALTERNATIVE", ""),
-    ("right", "exercise_style", "AMERICAN EUROPEAN BERMUDAN", ""),
-    ("right", "option_type", "CALL PUT", ""),
-    ("option", "option_type", "CALL PUT", ""),
-    ("option", "exercise_style", "AMERICAN EUROPEAN BERMUDAN", "DQ00019"),
-    ("option", "margin_style", "PREMIUM FUTURES_STYLE", ""),
-    ("future", "valuation_method", "MARK_TO_MARKET CASH_SETTLED PHYSICAL_DELIVERY", ""),
-    ("bond", "reference_index_rate", "CPI LIBOR SOFR RPI", ""),
-    ("bond", "conversion_rule", "MANDATORY OPTIONAL CONTINGENT NONE", ""),
-    ("muni", "pledge_type", "GENERAL_OBLIGATION REVENUE DOUBLE_BARRELED", ""),
-    ("stock", "depository_type", "DTC EUROCLEAR CLEARSTREAM PHYSICAL", ""),
-    ("preferred_stock", "dividend_right", "CUMULATIVE NON_CUMULATIVE PARTICIPATING", ""),
-    ("tick", "price_range", "TIER1 TIER2 TIER3", ""),
-    ("product_rating", "rating_agency", "MOODYS SP FITCH DBRS", "DQ00037"),
-    ("product_rating", "watch_code", "POSITIVE NEGATIVE STABLE DEVELOPING NONE", ""),
-    ("product_rating_type", "rating_type_code", "ISSUER ISSUE SHORT_TERM LONG_TERM", ""),
-)
+    ("product", "id_type", ("CUSIP", "ISIN", "SEDOL", "TICKER", "BLOOMBERG_ID"), "DQ00022"),
+    ("product", "type", ("DEBT", "EQUITY", "FUND", "DERIVATIVE", "RIGHT"), ""),
+    ("product", "status", ("ACTIVE", "INACTIVE", "MATURED", "SUSPENDED", "DELISTED"), "DQ00023"),
+    ("product", "settlement_type", ("T+1", "T+2", "T+3", "CASH"), "DQ00024"),
+    ("legal_entity", "legal_structure", ("CORP", "LLC", "LP", "TRUST", "GOVERNMENT"), "DQ00005"),
+    ("fund", "endness_type", ("OPEN_END", "CLOSED_END"), "DQ00015"),
+    ("fund", "mutual_fund_load_type", ("FRONT_LOAD", "BACK_LOAD", "NO_LOAD", "LEVEL_LOAD"), ""),
+    ("fund", "mutual_fund_type", ("EQUITY", "FIXED_INCOME", "BALANCED", "MONEY_MARKET", "ALTERNATIVE"), ""),
+    ("right", "exercise_style", ("AMERICAN", "EUROPEAN", "BERMUDAN"), ""),
+    ("right", "option_type", ("CALL", "PUT"), ""),
+    ("option", "option_type", ("CALL", "PUT"), ""),
+    ("option", "exercise_style", ("AMERICAN", "EUROPEAN", "BERMUDAN"), "DQ00019"),
+    ("option", "margin_style", ("PREMIUM", "FUTURES_STYLE"), ""),
+    ("future", "valuation_method", ("MARK_TO_MARKET", "CASH_SETTLED", "PHYSICAL_DELIVERY"), ""),
+    ("bond", "reference_index_rate", ("CPI", "LIBOR", "SOFR", "RPI"), ""),
+    ("bond", "conversion_rule", ("MANDATORY", "OPTIONAL", "CONTINGENT", "NONE"), ""),
+    ("muni", "pledge_type", ("GENERAL_OBLIGATION", "REVENUE", "DOUBLE_BARRELED"), ""),
+    ("stock", "depository_type", ("DTC", "EUROCLEAR", "CLEARSTREAM", "PHYSICAL"), ""),
+    ("preferred_stock", "dividend_right", ("CUMULATIVE", "NON_CUMULATIVE", "PARTICIPATING"), ""),
+    ("tick", "price_range", ("TIER1", "TIER2", "TIER3"), ""),
+    ("product_rating", "rating_agency", ("MOODYS", "SP", "FITCH", "DBRS"), "DQ00037"),
+    ("product_rating", "watch_code", ("POSITIVE", "NEGATIVE", "STABLE", "DEVELOPING", "NONE"), ""),
+    ("product_rating_type", "rating_type_code", ("ISSUER", "ISSUE", "SHORT_TERM", "LONG_TERM"), ""),
+)
 # Table, column, severity, known issues.
 REQUIRED = (
     ("product", "product_id", q.CRITICAL, "DQ00021"),
@@ -52,38 +52,34 @@ REQUIRED = (
 )
 # Table, key, known issues.  One column is a primary key, more are composite.
 UNIQUE = (
-    ("product", "product_id", "DQ00021"),
-    ("legal_entity", "legal_entity_id", ""),
-    ("currency", "code", "DQ00001;DQ00002"),
-    ("series", "series_id", ""),
-    ("tick_ladder_scale", "tick_ladder_scale_id", ""),
-    ("product_rating_type", "product_rating_type_id", ""),
-    ("tick", "tick_id", ""),
-    ("principal_redemption_provision", "principal_redemption_provision_id", ""),
-    ("generic_product", "generic_product_id", ""),
-    ("classification", "classification_id", ""),
-    ("identifiers", "identifiers_id", ""),
-    ("product_rating", "product_rating_id", ""),
-    ("coupon", "coupon_id", ""),
-    ("stock", "product_id", ""),
-    ("common_stock", "product_id", "DQ00008"),
-    ("preferred_stock", "product_id", ""),
-    ("debt", "product_id", ""),
-    ("bond", "product_id", ""),
-    ("muni", "product_id", "DQ00012"),
-    ("pool_backed_security", "product_id", ""),
-    ("fund", "product_id", ""),
-    ("right", "product_id", ""),
-    ("listed_derivative", "product_id", ""),
-    ("option", "product_id", ""),
-    ("future", "product_id", ""),
-    ("listed_derivative_tick", "product_id tick_id", ""),
-    (
-        "debt_principal_redemption_provision",
-        "product_id principal_redemption_provision_id",
-        "",
-    ),
-)
+    ("product", ("product_id",), "DQ00021"),
+    ("legal_entity", ("legal_entity_id",), ""),
+    ("currency", ("code",), "DQ00001;DQ00002"),
+    ("series", ("series_id",), ""),
+    ("tick_ladder_scale", ("tick_ladder_scale_id",), ""),
+    ("product_rating_type", ("product_rating_type_id",), ""),
+    ("tick", ("tick_id",), ""),
+    ("principal_redemption_provision", ("principal_redemption_provision_id",), ""),
+    ("generic_product", ("generic_product_id",), ""),
+    ("classification", ("classification_id",), ""),
+    ("identifiers", ("identifiers_id",), ""),
+    ("product_rating", ("product_rating_id",), ""),
+    ("coupon", ("coupon_id",), ""),
+    ("stock", ("product_id",), ""),
+    ("common_stock", ("product_id",), "DQ00008"),
+    ("preferred_stock", ("product_id",), ""),
+    ("debt", ("product_id",), ""),
+    ("bond", ("product_id",), ""),
+    ("muni", ("product_id",), "DQ00012"),
+    ("pool_backed_security", ("product_id",), ""),
+    ("fund", ("product_id",), ""),
+    ("right", ("product_id",), ""),
+    ("listed_derivative", ("product_id",), ""),
+    ("option", ("product_id",), ""),
+    ("future", ("product_id",), ""),
+    ("listed_derivative_tick", ("product_id", "tick_id"), ""),
+    ("debt_principal_redemption_provision", ("product_id", "principal_redemption_provision_id"), ""),
+)
 # The legacy shadow table has no key by design; its uniqueness rule is switched off.
 NOT_UNIQUE = {"generic_product"}
 # Table, column, pattern, whether a blank passes, known issues.
@@ -170,53 +166,48 @@ SUBTYPES = (
     ("listed_derivative", "DERIVATIVE", ""),
 )
 
-# Load order as (level, table, key columns); parents have lower levels.
+# Tables in load order with their key columns and level; parents come first.
 REGISTRY = (
-    (0, "legal_entity", "legal_entity_id"),
-    (0, "currency", "currency_code"),
-    (0, "series", "series_id"),
-    (0, "tick_ladder_scale", "tick_ladder_scale_id"),
-    (0, "tick", "tick_id"),
-    (0, "principal_redemption_provision", "principal_redemption_provision_id"),
-    (0, "product_rating_type", "product_rating_type_id"),
-    (0, "product", "product_id"),
-    (1, "debt", "product_id"),
-    (1, "bond", "product_id"),
-    (1, "muni", "product_id"),
-    (1, "pool_backed_security", "product_id"),
-    (1, "stock", "product_id"),
-    (1, "common_stock", "product_id"),
-    (1, "preferred_stock", "product_id"),
-    (1, "fund", "product_id"),
-    (1, "right", "product_id"),
-    (1, "listed_derivative", "product_id"),
-    (1, "option", "product_id"),
-    (1, "future", "product_id"),
-    (2, "identifiers", "identifier_id"),
-    (2, "classification", "classification_id"),
-    (2, "product_rating", "product_rating_id"),
-    (2, "coupon", "coupon_id"),
-    (3, "listed_derivative_tick", "product_id tick_id"),
-    (
-        3,
-        "debt_principal_redemption_provision",
-        "product_id principal_redemption_provision_id",
-    ),
-    (4, "generic_product", ""),
-    (4, "dq_rules_catalog", "rule_id"),
-    (4, "dq_issues_catalog", "issue_id"),
-)
+    ("legal_entity", ("legal_entity_id",), 0),
+    ("currency", ("currency_code",), 0),
+    ("series", ("series_id",), 0),
+    ("tick_ladder_scale", ("tick_ladder_scale_id",), 0),
+    ("tick", ("tick_id",), 0),
+    ("principal_redemption_provision", ("principal_redemption_provision_id",), 0),
+    ("product_rating_type", ("product_rating_type_id",), 0),
+    ("product", ("product_id",), 0),
+    ("debt", ("product_id",), 1),
+    ("bond", ("product_id",), 1),
+    ("muni", ("product_id",), 1),
+    ("pool_backed_security", ("product_id",), 1),
+    ("stock", ("product_id",), 1),
+    ("common_stock", ("product_id",), 1),
+    ("preferred_stock", ("product_id",), 1),
+    ("fund", ("product_id",), 1),
+    ("right", ("product_id",), 1),
+    ("listed_derivative", ("product_id",), 1),
+    ("option", ("product_id",), 1),
+    ("future", ("product_id",), 1),
+    ("identifiers", ("identifier_id",), 2),
+    ("classification", ("classification_id",), 2),
+    ("product_rating", ("product_rating_id",), 2),
+    ("coupon", ("coupon_id",), 2),
+    ("listed_derivative_tick", ("product_id", "tick_id"), 3),
+    ("debt_principal_redemption_provision", ("product_id", "principal_redemption_provision_id"), 3),
+    ("generic_product", (), 4),
+    ("dq_rules_catalog", ("rule_id",), 4),
+    ("dq_issues_catalog", ("issue_id",), 4),
+)
 
 
 def security_rules(as_of) -> list[q.Rule]:
     """The whole catalogue, numbered in the order above.  ``as_of`` is "today"."""
     makers = []
     for table, column, values, issues in ENUMS:
-        makers.append((q.enum_rule, (table, column, values.split()), {"issues": issues}))
+        makers.append((q.enum_rule, (table, column, values), {"issues": issues}))
     for table, column, severity, issues in REQUIRED:
         makers.append((q.not_null_rule, (table, column, severity), {"issues": issues}))
-    for table, key, issues in UNIQUE:
-        keys = key.split()
+    for table, keys, issues in UNIQUE:
         severity = q.CRITICAL if len(keys) == 1 else q.MEDIUM
         options = {"issues": issues, "enabled": table not in NOT_UNIQUE}
         makers.append((q.unique_rule, (table, keys, severity), options))

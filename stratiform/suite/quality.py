@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, datetime
 from functools import reduce
 
@@ -12,10 +13,11 @@ from ..operators import aggregates as A
 from ..operators import quality as q
 from ..operators.governance import sla_check as sla_of
 from ..operators.windows import first_per_key
+from ..plans import security_rules as R
 from ..plans.security_rules import security_rules
 from . import Tables, query
 from .inputs import DIRTY, VERSION, plain
-from .model import ctes
+from .model import MODEL, ctes
 
 D = f"WITH d AS ({plain(DIRTY)}) "
 ROWS = "SELECT custkey, name, nationkey, balance, segment FROM d WHERE "
@@ -390,33 +392,71 @@ def dq_expected(t: Tables) -> DataFrame:
 # --- the whole catalogue on the security model ----------------------------------------------
 
 TODAY = "1999-06-30"
-_CHECKED = {
-    "RULE0002": ("product", "type IS NOT NULL AND type NOT IN ('DEBT', 'EQUITY', 'FUND', 'DERIVATIVE', 'RIGHT')"),
-    "RULE0041": ("product", "product_id IN (SELECT product_id FROM m_product GROUP BY 1 HAVING count(*) > 1)"),
-    "RULE0053": ("coupon", "coupon_id IN (SELECT coupon_id FROM m_coupon GROUP BY 1 HAVING count(*) > 1)"),
-    "RULE0069": ("identifiers", "cusip IS NOT NULL AND cusip <> '' AND NOT regexp_matches(cusip, '^[A-Z0-9]{9}$')"),
-    "RULE0083": ("coupon", "coupon_rate IS NOT NULL AND NOT (coupon_rate BETWEEN 0 AND 25)"),
-    "RULE0086": ("product", f"issue_date IS NOT NULL AND issue_date > DATE '{TODAY}'"),
-    "RULE0088": ("product_rating", f"effective_from_date IS NOT NULL AND effective_from_date > DATE '{TODAY}'"),
-    "RULE0091": ("listed_derivative", "product_id IN (SELECT l.product_id FROM m_listed_derivative l JOIN m_product p ON l.product_id = p.product_id WHERE l.last_trade_date < p.issue_date)"),
-    "RULE0098": ("product_rating", "product_id IS NOT NULL AND product_id <> '' AND product_id NOT IN (SELECT product_id FROM m_product)"),
-    "RULE0116": ("coupon", "bond_id IS NOT NULL AND bond_id <> '' AND bond_id NOT IN (SELECT product_id FROM m_bond)"),
-    "RULE0124": ("debt", "product_id IN (SELECT product_id FROM m_product WHERE type <> 'DEBT')"),
-    "RULE0128": ("muni", "product_id IN (SELECT product_id FROM m_product WHERE type <> 'DEBT') OR product_id NOT IN (SELECT product_id FROM m_bond)"),
-}
+
+
+def _columns(table: str) -> set[str]:
+    return set(re.findall(r"AS ([a-z_]+)", MODEL.get(table, "")))
+
+
+def _catalogue() -> dict[str, tuple[str, str]]:
+    """Rule -> (table, failing rows in SQL), from the parameters of the catalogue, for the
+    rules whose tables and columns the derived model has."""
+    blank = "({0} IS NULL OR trim(CAST({0} AS VARCHAR)) = '')".format
+    out: list[tuple[str, list[tuple[str, str]], str]] = []  # table, columns needed, predicate
+
+    def add(table, columns, predicate, *others):
+        out.append((table, [*((table, c) for c in columns), *others], predicate))
+
+    for t, c, values, _ in R.ENUMS:
+        listed = ", ".join(f"'{v}'" for v in values)
+        add(t, [c], f"{c} IS NOT NULL AND {c} NOT IN ({listed})")
+    for t, c, _, _ in R.REQUIRED:
+        add(t, [c], blank(c))
+    for t, keys, _ in R.UNIQUE:
+        same = " AND ".join(f"d.{k} IS NOT DISTINCT FROM m_{t}.{k}" for k in keys)
+        k = ", ".join(keys)
+        twice = f"SELECT {k} FROM m_{t} GROUP BY {k} HAVING count(*) > 1"
+        add(t, [*keys, *(["-"] if t in R.NOT_UNIQUE else [])], f"EXISTS (FROM ({twice}) d WHERE {same})")
+    owners = "SELECT isin FROM m_identifiers GROUP BY isin HAVING min(product_id) <> max(product_id)"
+    add("identifiers", ["isin", "product_id"], f"NOT {blank('isin')} AND isin IN ({owners})")
+    for t, c, pattern, blank_ok, _ in R.FORMATS:
+        passes = f" AND {c} <> ''" if blank_ok else ""
+        add(t, [c], f"{c} IS NOT NULL{passes} AND NOT regexp_matches({c}, '{pattern}')")
+    add("product", ["description"], "description IS NOT NULL AND description <> trim(description)")
+    for t, c, lo, hi, strict, _ in R.RANGES:
+        bounds = [f"{c} {op}{'' if strict else '='} {x}" for op, x in ((">", lo), ("<", hi)) if x is not None]
+        add(t, [c], f"{c} IS NOT NULL AND NOT ({' AND '.join(bounds)})")
+    for t, c, _ in R.PAST_DATES:
+        add(t, [c], f"{c} IS NOT NULL AND {c} > DATE '{TODAY}'")
+    first, last = "first_delivery_datetime_utc", "last_delivery_datetime_utc"
+    add("future", [first, last], f"coalesce({first} > {last}, FALSE)")
+    early = "FROM m_product p WHERE p.product_id = m_listed_derivative.product_id AND last_trade_date < p.issue_date"
+    add("listed_derivative", ["last_trade_date", "product_id"], f"EXISTS ({early})")
+    for t, c, parent, pc, _ in R.FOREIGN_KEYS:
+        add(t, [c], f"NOT {blank(c)} AND {c} NOT IN (SELECT {pc} FROM m_{parent} WHERE {pc} IS NOT NULL)",
+            (parent, pc))
+    other = "product_id IN (SELECT product_id FROM m_product WHERE type <> '{}')".format
+    for t, expected, _ in R.SUBTYPES:
+        add(t, ["product_id"], other(expected))
+    add("muni", ["product_id"], other("DEBT") + " OR product_id NOT IN (SELECT product_id FROM m_bond)")
+    return {
+        f"RULE{n:04d}": (table, predicate)
+        for n, (table, needed, predicate) in enumerate(out, start=1)
+        if all(c in _columns(t) for t, c in needed)
+    }
+
+
+_CHECKED = _catalogue()
 
 
 @query(
-    ctes(
-        "product", "identifiers", "coupon", "product_rating", "listed_derivative", "bond", "debt",
-        "muni",
-    )
+    ctes(*MODEL)
     + " UNION ALL ".join(
         f"SELECT '{r}' AS rule_id, count(*) AS n_rows, count(*) FILTER ({p}) AS failures FROM m_{n}"
         for r, (n, p) in _CHECKED.items()
     ),
     headline=True,
-)
+)
 def dq_catalogue(t: Tables) -> DataFrame:
     """Every rule of the catalogue whose tables and columns the derived model has."""
     model = t.model

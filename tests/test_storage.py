@@ -295,3 +295,9 @@ def test_a_key_deleted_and_inserted_again_is_live(spark, rows):
     for _ in range(2):
         table = apply_changes(table, again, ["id"], hash_col="_row_hash")
     assert rows(table, "id", "status") == [("a", "ACTIVE"), (None, "ACTIVE")]
+
+
+def test_z_order_tells_strings_with_a_common_head_apart(spark):
+    df = spark.range(10_000).selectExpr("format_string('Customer#%09d', id) name", "id % 50 n")
+    cells = df.select(layout.z_value(df, ["name", "n"]).alias("z")).distinct().count()
+    assert cells > 1000

@@ -12,7 +12,7 @@ from ..operators.history import scd2_merge
 from ..operators.merge import diff
 from ..operators.projections import stamp_current
 from ..operators.quality import Rule, evaluate, route, rule_version
-from ..operators.sinks import SnapshotTable, append, scd2_buckets
+from ..operators.sinks import SnapshotTable, scd2_buckets
 from ..session import materialise
 
 
@@ -28,17 +28,19 @@ def conform_table(
     *,
     buckets: int = 0,
 ) -> None:
-    """Evaluate the rules, append the rejects, then merge the clean rows into the history.
+    """Evaluate the rules, write the rejects, then merge the clean rows into the history.
 
     The history is a snapshot table or, with ``buckets``, a bucketed one of which only the
-    parts with changes are rewritten.  The evaluated rows are written once to the shared folder, since both outputs read
-    them and a lost executor must not repeat the rule joins.
+    parts with changes are rewritten.  Rejects lie in one folder per run, ``_run=<at>``; a
+    run that is repeated replaces its own.  The evaluated rows are written once to the shared
+    folder, since both outputs read them and a lost executor must not repeat the rule joins.
     """
     version = rule_version(rules)
     evaluated = materialise(evaluate(bronze, rules, tables, name), f"evaluated-{name}")
     clean, rejects = route(evaluated, version, at)
     rejects = rejects.withColumn("_table", F.lit(name))
-    append(rejects, f"{root}/{name}_rejects", ["_rule_id"])
+    run = f"{root}/{name}_rejects/_run={at:%Y%m%dT%H%M%S}"
+    rejects.write.mode("overwrite").partitionBy("_rule_id").parquet(run)
     # Warnings describe this run's evaluation and are no part of a row's history hash.
     if buckets:
         path = f"{root}/{name}"

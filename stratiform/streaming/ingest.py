@@ -12,6 +12,7 @@ from ..functions.hashing import row_hash
 from ..operators.quality import Rule, evaluate, route
 from ..operators.sinks import BUCKET, upsert_buckets
 from ..operators.windows import latest_per_key
+from ..session import materialise
 from ..sources.messages import decode_messages
 
 
@@ -132,7 +133,8 @@ def conform_stream(
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        clean, rejects = route(evaluate(batch, rules, tables), rule_version, as_of)
+        evaluated = materialise(evaluate(batch, rules, tables), "stream-evaluated")
+        clean, rejects = route(evaluated, rule_version, as_of)
         for rows, path in ((rejects, rejects_path), (clean, clean_path)):
             rows.write.mode("overwrite").parquet(f"{path}/_stream_batch={number}")
 

@@ -114,6 +114,32 @@ def test_archive(spark, docs, none):
     assert warc.read_archive(spark, empty).count() == 0
 
 
+def test_revisits(spark):
+    """Of equal payloads of 1000 bytes or more the one with the largest key is the response."""
+    big, other, small = "ü" * 500, "x" * 1500, "y" * 999
+    rows = [(5, "a", big), (9, "b", big), (None, "c", big), (7, None, big), (3, "d", other),
+            (4, "e", small), (8, "f", small), (1, "g", None), (2, "h", ""), (9, "b", big)]
+    path = scratch_path(spark, "test-warc")
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = warc.read_archive(spark, path)
+    told = [(r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got.collect()]
+    assert sorted(told, key=repr) == sorted(
+        [
+            (5, "a", "revisit", 9, 1000), (7, None, "revisit", 9, 1000), (None, "c", "revisit", 9, 1000),
+            (9, "b", "response", None, 1000), (9, "b", "response", None, 1000),
+            (3, "d", "response", None, 1500), (4, "e", "response", None, 999),
+            (8, "f", "response", None, 999), (1, "g", "response", None, 0), (2, "h", "response", None, 0),
+        ],
+        key=repr,
+    )
+    assert spark.read.parquet(f"{path}/payloads").count() == 4
+    for r in got.collect():
+        head, _, block = bytes(r["record"]).partition(b"\r\n\r\n")
+        assert head.startswith(b"WARC/1.1\r\n") and block.endswith(b"\r\n\r\n")
+        length = int(head.split(b"Content-Length: ")[1].split(b"\r\n")[0])
+        assert len(block) - 4 == length
+
+
 def test_archive_notices_a_changed_payload(spark):
     path, other = scratch_path(spark, "test-warc"), scratch_path(spark, "test-warc")
     pages = spark.createDataFrame([(1, "u", "x" * 2000)], "page_id long, url string, html string")

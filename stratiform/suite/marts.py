@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,11 +12,13 @@ from ..operators.joins import Branch, coverage, flatten
 from ..operators.projections import coalesce_priority
 from ..operators.windows import latest_per_key, top_rows
 from ..plans import marts as m
+from ..plans.gold import build_gold
 from . import Tables, query
 from .inputs import FIRST_DAY
 from .model import ctes
 
 BUILT = f"{FIRST_DAY} 00:00:00"
+BUILT_AT = datetime.fromisoformat(BUILT)
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -190,6 +194,24 @@ def gold_surface_column(t: Tables) -> DataFrame:
     return comparable(mart)
 
 
+@query(WIDE_SQL + "SELECT * FROM wide")
+def gold_build(t: Tables) -> DataFrame:
+    """The mart written by type, checked as stored and read back, twice at one time."""
+    root = t.scratch("gold")
+    for _ in range(2):
+        stored = build_gold(t.spark, t.model, root, BUILT_AT)
+    return comparable(stored)
+
+
+@query(
+    WIDE_SQL
+    + """SELECT type, count(*) AS n_securities FROM wide GROUP BY type"""
+)
+def gold_question(t: Tables) -> DataFrame:
+    """A question answered from the stored mart."""
+    return m.by_type(build_gold(t.spark, t.model, t.scratch("gold"), BUILT_AT))
+
+
 @query(
     WIDE_SQL
     + """SELECT 'GOLD-GRAIN' AS check_id, CAST(count(*) - count(DISTINCT product_id) AS BIGINT) AS measure,

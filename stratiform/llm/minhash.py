@@ -341,7 +341,7 @@ class Labels:
 
     def __init__(self, node: np.ndarray, root: np.ndarray):
         self.node = node
-        self.of = np.unique(root, return_inverse=True)[1]  # rows of one component start as one
+        self.of = np.unique(root, return_inverse=True)[1]  # rows of one root start as one
         self.edges: list[tuple[int, int]] = []
 
     def join(self, x: int, ys: np.ndarray) -> None:
@@ -385,7 +385,9 @@ def leftovers(
     """A forest (a, b) over texts of one bucket and two components whose signatures agree.
 
     In each bucket of three or more the members outside the centre's component face all
-    members; in smaller ones every pair has been tested.
+    members; in smaller ones every pair has been tested.  Agreeing signatures are no link yet,
+    so each text stands for itself, not for its component: any two texts of different
+    components that agree are connected by the forest.
     """
     roots = joined.select("node", "root")
     placed = shared.where("size > 2").join(roots, "node", "left")
@@ -409,9 +411,9 @@ def leftovers(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 3):
             node, root, n, sig, left, right = cell(g)
-            labels = Labels(node, root)
+            labels = Labels(node, node)
             for x in left:
-                ys = candidates(x, right, labels, n, sig, percent)
+                ys = candidates(x, right[root[right] != root[x]], labels, n, sig, percent)
                 if len(ys):
                     labels.join(x, ys)
             yield labels.batch()
@@ -424,13 +426,22 @@ def within(
     families: DataFrame, joined: DataFrame, members: DataFrame, docs: DataFrame, key: str,
     text: str, words: int, percent: int,
 ) -> DataFrame:
-    """A forest of links between texts of one family and two components."""
+    """A forest of links between texts of one family and two components.
+
+    The members outside the family's largest component face all members.
+    """
     sets = full_sets(families.select("node"), members, docs, key, text, words)
-    sizes = families.groupBy("root").agg(F.count("*").alias("size"))
-    placed = families.join(sizes, "root").withColumnRenamed("root", "family")
-    placed = placed.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    n = blocks(F.col("size"), BLOCK_SETS)
-    cells = grid(placed, n, n, F.lit(True), "family", "node", "root").where("i <= j")
+    placed = families.withColumnRenamed("root", "family").join(joined, "node", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "node"))
+    parts = placed.groupBy("family", "root").agg(F.count("*").alias("part"))
+    top = parts.groupBy("family").agg(
+        F.sum("part").alias("size"), F.max(F.struct("part", "root")).alias("top")
+    )
+    top = top.select("family", "size", F.col("top.root").alias("main"), F.col("top.part").alias("part"))
+    placed = placed.join(top.where("size > part"), "family")
+    lefts = blocks(F.col("size") - F.col("part"), BLOCK_SETS)
+    alls = blocks(F.col("size"), BLOCK_SETS)
+    cells = grid(placed, lefts, alls, F.col("root") != F.col("main"), "family", "node", "root")
     cells = cells.join(members.select("node", "n", "signature"), "node").join(sets, "node")
     cells = cells.select("family", "i", "j", "side", "node", "root", "n", "signature", "runs")
 

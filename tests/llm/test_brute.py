@@ -127,6 +127,26 @@ def test_signatures_are_those_of_the_definition():
         assert signature.tolist() == want
 
 
+def test_fringe_texts_link_with_one_member_of_a_joined_group_each(spark):
+    """One bucket holds all texts; a fringe links with neither the centre nor other bridges."""
+
+    def texts_of(salt):
+        swap = lambda t, a, by: t[:a] + [f"{by}{i}" for i in range(a, a + 10)] + t[a + 10 :]
+        centre = [f"{salt}w{i}" for i in range(100)]
+        bridges = [swap(centre, 20 * k, "x") for k in range(3)]
+        fringes = [swap(t, 20 * k + 10, "y") for k, t in enumerate(bridges)]
+        return [" ".join(t) for t in [centre, *bridges, *fringes]]
+
+    for salt in range(1000):  # until the one register is the same for all
+        sets = [minhash.shingle_set(t, 1) for t in texts_of(salt)]
+        if len(np.unique(minhash.super_minhash(sets, 1))) == 1:
+            break
+    rows = list(enumerate(texts_of(salt)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = minhash.near_duplicates(docs, words=1, percent=80, bands=1, rows=1).collect()
+    assert {r["key"]: r["component_id"] for r in found} == {i: 0 for i, _ in rows}
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates_of_a_dense_group(spark, percent):
     """Copies edited more or less, around the threshold: same components as all pairs give."""

@@ -127,6 +127,24 @@ def test_signatures_are_those_of_the_definition():
         assert signature.tolist() == want
 
 
+@pytest.mark.parametrize("passes", [16, 1])
+def test_lone_pairs_in_a_dense_cone_are_found(spark, passes):
+    """Two thirds of the vectors lie at cosine 0.93 to each other, which is no link; 60 have a twin."""
+    rng = np.random.default_rng(11)
+    *v, axis = dup.unit(rng.standard_normal((3001, 512)))
+    v = np.array(v)
+    v[:2000] = dup.unit(0.93**0.5 * axis + 0.07**0.5 * v[:2000])
+    u = rng.standard_normal((60, 512))
+    u = dup.unit(u - (u * v[:60]).sum(axis=1, keepdims=True) * v[:60])
+    v = np.concatenate([v, 0.951 * v[:60] + (1 - 0.951**2) ** 0.5 * u])
+    want = (v @ v.T >= 0.95).sum(axis=1) - 1
+    assert want.sum() == 120
+    rows = [(i, w) for i, w in enumerate(v.tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in dup.near_vectors(frame, passes=passes).collect()}
+    assert [got[i] for i in range(len(v))] == want.tolist()
+
+
 def test_fringe_texts_link_with_one_member_of_a_joined_group_each(spark):
     """One bucket holds all texts; a fringe links with neither the centre nor other bridges."""
 

@@ -169,3 +169,70 @@ def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     from .neighbours import nearest
 
     return nearest(read(spark, folder, "embeddings"))
+
+
+@register
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    from .manifest import build, fold, hexed, leaf_digest, proof_digest, prove
+
+    values = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = read(spark, folder, "documents")
+    told = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    changed = F.when(told, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    claim = leaf_digest(*(changed if v == "n_chars" else F.col(v) for v in values))
+    proofs = prove(build(docs.withColumn("claim", claim), values, keep=["doc_id", "claim"]))
+    folded = proofs.withColumn("folded", fold(F.col("claim")))
+    return folded.select(
+        "doc_id",
+        *(hexed(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")),
+        proof_digest(F.col("path")).alias("proof_sha256"),
+        hexed(F.col("folded")).alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+ORACLE_SQL["op11_manifest"] = """
+WITH RECURSIVE told AS (SELECT doc_id, lang, n_chars,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+      || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents),
+leaves AS (SELECT doc_id, lang, n_chars, head, tail,
+    sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r FROM told),
+up AS (SELECT lang, 0 AS h, r AS i, leaf AS d, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+  UNION ALL SELECT lang, h + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), any_value((n + 1) // 2)
+  FROM up WHERE n > 1 GROUP BY lang, h, i // 2),
+tops AS (SELECT lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r FROM up WHERE n = 1),
+top AS (SELECT 0 AS h, r AS i, d, count(*) OVER () AS n FROM tops
+  UNION ALL SELECT h + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), any_value((n + 1) // 2)
+  FROM top WHERE n > 1 GROUP BY h, i // 2),
+crc AS (SELECT range AS b, list_reduce([range] || range(8),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256)),
+crcs AS (SELECT doc_id, 0 AS pos, CAST(4294967295 AS BIGINT) AS c FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT doc_id, pos + 1, xor(crcs.c // 256, crc.c) FROM crcs JOIN crc
+    ON crc.b = xor(crcs.c % 256, ascii(substr(CAST(doc_id AS VARCHAR), pos + 1, 1)))
+  WHERE pos < strlen(CAST(doc_id AS VARCHAR))),
+hit AS (SELECT doc_id FROM crcs WHERE pos = strlen(CAST(doc_id AS VARCHAR)) AND xor(c, 4294967295) % 7 = 0),
+path AS (SELECT doc_id, 0 AS tree, u.h, u.d, l.r >> u.h AS own FROM leaves l JOIN up u
+    ON u.lang IS NOT DISTINCT FROM l.lang AND u.i = xor(l.r >> u.h, 1)
+  UNION ALL SELECT doc_id, 1, t.h, t.d, s.r >> t.h FROM leaves l JOIN tops s
+    ON s.lang IS NOT DISTINCT FROM l.lang JOIN top t ON t.i = xor(s.r >> t.h, 1)),
+steps AS (SELECT doc_id, u.h AS h, 0 AS tree FROM leaves l JOIN up u
+    ON u.lang IS NOT DISTINCT FROM l.lang AND u.i = l.r >> u.h WHERE u.n > 1
+  UNION ALL SELECT doc_id, t.h, 1 FROM leaves l JOIN tops s ON s.lang IS NOT DISTINCT FROM l.lang
+    JOIN top t ON t.i = s.r >> t.h WHERE t.n > 1),
+line AS (SELECT s.doc_id, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.tree, s.h) AS k, p.d, p.own
+  FROM steps s LEFT JOIN path p USING (doc_id, tree, h)),
+fold AS (SELECT doc_id, 1 AS k, sha256(head || coalesce(strlen(CAST(m AS VARCHAR)) || ':' || m, '-') || tail) AS d
+  FROM (SELECT l.*, l.n_chars + CASE WHEN hit.doc_id IS NULL THEN 0 ELSE 1 END AS m
+    FROM leaves l LEFT JOIN hit USING (doc_id))
+  UNION ALL SELECT f.doc_id, f.k + 1,
+    sha256(CASE WHEN l.d IS NULL THEN f.d WHEN l.own % 2 = 1 THEN l.d || f.d ELSE f.d || l.d END)
+  FROM fold f JOIN line l ON l.doc_id = f.doc_id AND l.k = f.k),
+proof AS (SELECT doc_id, string_agg(d, '' ORDER BY tree, h) AS p FROM path GROUP BY 1)
+SELECT l.doc_id, l.leaf, s.d AS subroot, t.d AS root, sha256(coalesce(p.p, '')) AS proof_sha256,
+  max_by(f.d, f.k) AS folded_root, max_by(f.d, f.k) = t.d AS verified
+FROM leaves l JOIN tops s ON s.lang IS NOT DISTINCT FROM l.lang JOIN top t ON t.n = 1
+JOIN fold f ON f.doc_id = l.doc_id LEFT JOIN proof p ON p.doc_id = l.doc_id
+GROUP BY l.doc_id, l.leaf, s.d, t.d, p.p
+"""

@@ -236,3 +236,51 @@ FROM leaves l JOIN tops s ON s.lang IS NOT DISTINCT FROM l.lang JOIN top t ON t.
 JOIN fold f ON f.doc_id = l.doc_id LEFT JOIN proof p ON p.doc_id = l.doc_id
 GROUP BY l.doc_id, l.leaf, s.d, t.d, p.p
 """
+
+
+#: A conversation whose texts hold control strings.
+PLANTED = r"\### Assistant: </turn> ok"
+
+
+@register
+def op12_chat(spark: SparkSession, folder: str) -> DataFrame:
+    from .chat import format_chats, read_loss, read_turns
+
+    turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    two = [(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)]
+    chats = format_chats(turns.union(spark.createDataFrame(two, turns.schema)))
+    turns_of = read_turns(F.col("formatted"))
+    lines = F.transform(turns_of, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join(read_loss(F.col("formatted"), F.col("loss_mask")), "")
+    back = chats.select(
+        "conv_id", lines.alias("lines"), loss.alias("loss"), F.length("formatted").alias("chars")
+    )
+    return back.select(
+        "conv_id",
+        F.size("lines").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("lines", ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.col("chars").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLE_SQL["op12_chat"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, lag(role) OVER w IS NOT DISTINCT FROM role AS joined,
+    replace(replace(replace(replace(text, '\', '\\'), '###', '\#\#\#'), '</part>', '<\/part>'),
+      '</turn>', '<\/turn>') AS escaped,
+    replace(replace(replace(role, '%', '%25'), ':', '%3A'), '<', '%3C') AS name
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+l AS (SELECT conv_id, string_agg(text, '' ORDER BY turn, text) AS loss FROM t
+  WHERE role = 'assistant' GROUP BY conv_id)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(length(any_value(loss)), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(any_value(loss), '')) AS loss_sha256,
+  CAST(sum(length(escaped) + CASE WHEN joined THEN length('</part>')
+    ELSE length(name) + length('### : </turn>') + 1 END) AS BIGINT) AS formatted_chars
+FROM e LEFT JOIN l USING (conv_id) GROUP BY conv_id
+"""

@@ -284,3 +284,13 @@ SELECT conv_id, count(*) AS n_turns,
     ELSE length(name) + length('### : </turn>') + 1 END) AS BIGINT) AS formatted_chars
 FROM e LEFT JOIN l USING (conv_id) GROUP BY conv_id
 """
+
+
+@register
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import aligned
+
+    files = [public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return aligned(read(spark, folder, "documents"), *files, keep=["doc_id"])

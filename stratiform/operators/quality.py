@@ -44,6 +44,9 @@ class Rule:
     scope: Callable[[], Column] | None = None
     enabled: bool = True
     issues: str = ""
+    # A key rule: all rows of a key fail that more than one row has, or more than one owner.
+    keys: tuple[str, ...] = ()
+    owner: str | None = None
 
     @property
     def flag(self) -> str:
@@ -157,7 +160,8 @@ def unique_rule(rule_id, table, keys: Sequence[str], severity=CRITICAL, **kw) ->
     return _rule(
         rule_id, table, kind, severity, "Uniqueness", ", ".join(keys),
         lambda flag: F.col(flag), {"keys": list(keys)},
-        lambda df, flag, _, bare: mark_by_key(df, keys, duplicate_keys(bare, keys), flag), **kw,
+        lambda df, flag, _, bare: mark_by_key(df, keys, duplicate_keys(bare, keys), flag),
+        keys=tuple(keys), **kw,
     )
 
 
@@ -174,7 +178,7 @@ def owner_rule(rule_id, table, key, owner, severity=MEDIUM, **kw) -> Rule:
 
     return _rule(
         rule_id, table, "BUSINESS_KEY_UNIQUE", severity, "Uniqueness", key,
-        lambda flag: F.col(flag), {"owner": owner}, attach, **kw,
+        lambda flag: F.col(flag), {"owner": owner}, attach, keys=(key,), owner=owner, **kw,
     )
 
 
@@ -303,20 +307,49 @@ def evaluate(
     """Add ``_failed``: one struct (rule_id, severity, detail) per rule the row fails."""
     active = _active(rules, table)
     flagged = attach_all(df, active, tables or {})
+    hits = [_hit(flagged, r) for r in active]
+    failed = F.array_compact(F.array(*hits)) if hits else F.array().cast(FAILED)
+    return flagged.select(*df.columns, failed.alias("_failed"))
+
+
+FAILED = "array<struct<rule_id:string,severity:string,detail:string>>"
+
+
+def _hit(df: DataFrame, rule: Rule) -> Column:
+    found = F.struct(
+        F.lit(rule.rule_id).alias("rule_id"),
+        F.lit(rule.severity).alias("severity"),
+        _detail(df, rule).alias("detail"),
+    )
+    return F.when(_failing(rule), found)
+
+
+def add_key_failures(
+    evaluated: DataFrame,
+    rules: Sequence[Rule],
+    bad_keys: Mapping[str, DataFrame],
+    table: str | None = None,
+) -> DataFrame:
+    """Complete ``_failed`` where the key rules were left out of :func:`evaluate`.
+
+    ``bad_keys`` holds the failing keys of each key rule (unique rows, named as the rule's
+    keys).  The result is that of evaluating all ``rules`` at once, in their order.
+    """
+    active = _active(rules, table)
+    flagged = evaluated
+    for r in active:
+        if r.keys:
+            flagged = mark_by_key(flagged, r.keys, bad_keys[r.rule_id], r.flag)
+    bare = flagged.drop("_failed")
     hits = [
-        F.when(
-            _failing(r),
-            F.struct(
-                F.lit(r.rule_id).alias("rule_id"),
-                F.lit(r.severity).alias("severity"),
-                _detail(df, r).alias("detail"),
-            ),
-        )
+        _hit(bare, r)
+        if r.keys
+        else F.get(F.filter("_failed", lambda f: f["rule_id"] == r.rule_id), F.lit(0))  # noqa: B023
         for r in active
     ]
-    empty = F.array().cast("array<struct<rule_id:string,severity:string,detail:string>>")
-    failed = F.array_compact(F.array(*hits)) if hits else empty
-    return flagged.select(*df.columns, failed.alias("_failed"))
+    failed = F.array_compact(F.array(*hits)) if hits else F.array().cast(FAILED)
+    kept = [c for c in evaluated.columns if c != "_failed"]
+    return flagged.select(*kept, failed.alias("_failed"))
 
 
 def route(

@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import row_hash
-from ..operators.quality import Rule, evaluate, route
 from ..operators.sinks import BUCKET, upsert_buckets
 from ..operators.windows import latest_per_key
-from ..session import materialise
 from ..sources.messages import decode_messages
 
 
@@ -50,11 +48,12 @@ def dedupe_offsets(
 
 
 def run_available(
-    stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str
+    stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
 ) -> None:
     """Process what is there in micro-batches, then stop."""
     query = (
         stream.writeStream.foreachBatch(each)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -85,8 +84,9 @@ def upsert_stream(
 ) -> None:
     """Upsert each micro-batch into a bucketed table, newest row per key by ``order``.
 
-    Rows that arrive late do not replace newer ones, whatever batch they come in.  A replayed batch finds its rows in the table already and writes nothing, so the result
-    does not depend on how often a batch runs.  Only buckets with changes are rewritten.
+    Rows that arrive late do not replace newer ones, whatever batch they come in.  A replayed
+    batch finds its rows in the table already and writes nothing, so the result does not
+    depend on how often a batch runs.  Only buckets with changes are rewritten.
     """
 
     def each(batch: DataFrame, _: int) -> None:
@@ -102,40 +102,3 @@ def upsert_stream(
 
 def read_upserted(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop(BUCKET)
-
-
-def evaluate_stream(
-    stream: DataFrame, rules: Sequence[Rule], path: str, checkpoint: str, tables=None
-) -> None:
-    """Write the rows of each micro-batch with the rules they fail (``_failed``)."""
-
-    def each(batch: DataFrame, number: int) -> None:
-        rows = evaluate(batch, rules, tables)
-        rows.write.mode("overwrite").parquet(f"{path}/_stream_batch={number}")
-
-    run_available(stream, each, checkpoint)
-
-
-def conform_stream(
-    stream: DataFrame,
-    rules: Sequence[Rule],
-    rule_version: str,
-    as_of,
-    clean_path: str,
-    rejects_path: str,
-    checkpoint: str,
-    tables=None,
-) -> None:
-    """Run the rule set on each micro-batch; clean rows and rejects go to their tables.
-
-    Output is partitioned by the batch number and a replayed batch replaces its own
-    partition.  Relational rules see the micro-batch and the static ``tables``.
-    """
-
-    def each(batch: DataFrame, number: int) -> None:
-        evaluated = materialise(evaluate(batch, rules, tables), "stream-evaluated")
-        clean, rejects = route(evaluated, rule_version, as_of)
-        for rows, path in ((rejects, rejects_path), (clean, clean_path)):
-            rows.write.mode("overwrite").parquet(f"{path}/_stream_batch={number}")
-
-    run_available(stream, each, checkpoint)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
@@ -20,9 +21,11 @@ from ..session import materialise
 from .common import bound_batches, groups, with_fields
 
 #: Megabytes of text per chunk: the unit whose pairs are counted together.
-CHUNK_MB = 8
+CHUNK_MB = 3
+#: Groups of more links than this count their ids before they are joined.
+LARGE = 64
 #: Words whose ids a worker keeps; bounds memory only.
-KEPT = 1 << 19
+KEPT = 1 << 18
 #: A text in which some space follows another white space, or stands at an end.
 UNEVEN = re.compile(r"\s |^ | $")
 DOC = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string"}
@@ -62,29 +65,32 @@ class Tokenizers:
         self.bytes = [pa.array(x, pa.large_binary()) for x in (a, b)]
         self.lengths = [pc.binary_length(x).cast(pa.int64()) for x in self.bytes]
         self.by_word = not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(len(b)))
-        self.memo: dict[str, tuple] = {}
+        self.sizes = (len(a), len(b))
+        self.memo: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
-    def _encode(self, texts: list[str]) -> Iterator[tuple]:
+    def _encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         b = self.b.encode(texts, num_threads=1)
-        return ((tuple(x.ids), tuple(y)) for x, y in zip(a, b))
+        return ((array("i", x.ids).tobytes(), array("i", y).tobytes()) for x, y in zip(a, b))
 
-    def encode(self, texts: list[str]) -> list[tuple]:
-        """For each text the ids of " " + text by the first and of the text by the second."""
-        out: list = [None] * len(texts)
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """For each text the ids of " " + text by the first and of the text by the second, as
+        the bytes of 32-bit numbers."""
+        out: list = [(b"", b"")] * len(texts)
         even = [i for i, t in enumerate(texts) if self.by_word and t and not UNEVEN.search(t)]
         words = [texts[i].split(" ") for i in even]
-        if len(self.memo) > KEPT:
-            self.memo.clear()
-        new = list(set(chain.from_iterable(words)).difference(self.memo))
-        self.memo.update(zip(new, self._encode(new)))
+        a, b = self.memo
+        if len(a) > KEPT:
+            a.clear(), b.clear()
+        new = list(set(chain.from_iterable(words)).difference(a))
+        for w, ids in zip(new, self._encode(new)):
+            a[w], b[w] = ids
         for i, own in zip(even, words):
-            found = [self.memo[w] for w in own]
-            out[i] = tuple(list(chain.from_iterable(f[k] for f in found)) for k in (0, 1))
-        rest = [i for i, t in enumerate(texts) if out[i] is None and t]
+            out[i] = b"".join(map(a.__getitem__, own)), b"".join(map(b.__getitem__, own))
+        rest = sorted({i for i, t in enumerate(texts) if t}.difference(even))
         for i, ids in zip(rest, self._encode([texts[i] for i in rest])):
             out[i] = ids
-        return [ids or ((), ()) for ids in out]
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -92,9 +98,9 @@ def _tokenizers(byte_level: bytes, pieces: bytes) -> Tokenizers:
     return Tokenizers(byte_level, pieces)
 
 
-def _lists(ids: list[Sequence[int]]) -> pa.LargeListArray:
-    ends = np.cumsum([0, *map(len, ids)])
-    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
+def _lists(ids: list[bytes]) -> pa.LargeListArray:
+    ends = np.cumsum([0, *map(len, ids)]) // 4
+    flat = np.frombuffer(b"".join(ids), np.int32)
     return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat))
 
 
@@ -126,15 +132,15 @@ def _spelt(tokens: pa.LargeBinaryArray, lists: pa.LargeListArray) -> pa.LargeBin
     return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(starts), data])
 
 
-def align(texts: list[str | None], tok: Tokenizers) -> tuple[dict[str, np.ndarray], pa.Table, pa.Table]:
-    """Per text the numbers and the digest of DOC; the links (doc, a, b, links), one row for
-    each pair of ids of a text; and both token sequences with their groups.
+def align(texts: list[str | None], tok: Tokenizers) -> tuple[dict[str, np.ndarray], pa.Table]:
+    """Per text the numbers and the digest of DOC; and the links (doc, pair, links), one row
+    for each pair of ids of a text, a pair being a * (size of the second vocabulary) + b.
 
     Both id lists are flattened; parent indices and segmented sums of token bytes give each
-    token its text and end.  A hash join on (text, end) finds the ends that both share, and
-    the number of shared ends before a token is its group.  Occurrences of an id in a group
-    are counted before groups are joined, so a long group costs the product of its distinct
-    ids, not of its tokens.
+    token its text and end.  A hash join on text and end finds the ends that both share, and
+    the number of shared ends before a token is its group.  A second one, on the group, links
+    tokens.  Where a group is large, occurrences of each id are counted first: it costs the
+    product of its distinct ids, not of its tokens.
     """
     ids = tok.encode([t or "" for t in texts])
     lists = [_lists([own[k] for own in ids]) for k in (0, 1)]
@@ -144,53 +150,55 @@ def align(texts: list[str | None], tok: Tokenizers) -> tuple[dict[str, np.ndarra
         whole = _spelt(pc.take(tok.bytes[k], lists[k].flatten()), lists[k])
         good &= pc.equal(whole, want).to_numpy(zero_copy_only=False)
     if not good.all():
-        lists = [_lists([own[k] if g else () for own, g in zip(ids, good)]) for k in (0, 1)]
-    n = [np.diff(x.offsets.to_numpy()) for x in lists]
+        lists = [_lists([own[k] if g else b"" for own, g in zip(ids, good)]) for k in (0, 1)]
+    del ids, want
+    flat = [x.flatten() for x in lists]
+    doc = [pc.list_parent_indices(x) for x in lists]
     ends = []
     for k in (0, 1):
-        flat = lists[k].flatten()
-        table = {
-            "doc": pc.list_parent_indices(lists[k]),
-            "end": _ends_in_list(pc.take(tok.lengths[k], flat), lists[k]),
-            f"at_{k}": pa.array(np.arange(len(flat))),
-        }
-        ends.append(pa.table(table))
-    shared = ends[0].join(ends[1], ["doc", "end"], join_type="inner", use_threads=False)
+        end = _ends_in_list(pc.take(tok.lengths[k], flat[k]), lists[k])
+        document_end = pc.add(pc.shift_left(doc[k], pa.scalar(32, pa.int64())), end)
+        ends.append(pa.table({"document_end": document_end, f"at_{k}": np.arange(len(end))}))
+    shared = ends[0].join(ends[1], "document_end", join_type="inner", use_threads=False)
     group, cuts = [], []
     for k in (0, 1):
-        at = shared.column(f"at_{k}").to_numpy()
-        last = np.zeros(len(ends[k]), bool)
-        last[at] = True
+        last = np.zeros(len(flat[k]), bool)
+        last[shared.column(f"at_{k}").to_numpy()] = True
         group.append(np.cumsum(last) - last)
         cuts.append(np.flatnonzero(last) + 1)
-    n_groups = np.bincount(ends[0].column("doc").to_numpy()[cuts[0] - 1], minlength=len(texts))
-    tokens = [
-        pa.table({"doc": ends[k].column("doc"), "g": group[k], name: lists[k].flatten()})
-        for k, name in ((0, "a"), (1, "b"))
-    ]
-    held = [
-        t.group_by(["g", name], use_threads=False).aggregate([([], "count_all"), ("doc", "min")])
-        for t, name in zip(tokens, "ab")
-    ]
-    pairs = held[0].rename_columns({"count_all": "n_a", "doc_min": "doc"}).join(
-        held[1].drop_columns("doc_min").rename_columns({"count_all": "n_b"}),
-        "g", join_type="inner", use_threads=False,
-    )
-    pairs = pairs.append_column("n", pc.multiply(pairs.column("n_a"), pairs.column("n_b")))
-    links = pairs.group_by(["doc", "a", "b"], use_threads=False).aggregate([("n", "sum")])
-    links = links.rename_columns({"n_sum": "links"})
-    n_links = np.bincount(
-        links.column("doc").to_numpy(), links.column("links").to_numpy(), minlength=len(texts)
-    )
-    sides = [_joined(lists[k].flatten().cast(pa.string()), cuts[k], ",") for k in (0, 1)]
+    del ends, shared
+    doc_of_group = doc[0].to_numpy()[cuts[0] - 1]
+    n_groups = np.bincount(doc_of_group, minlength=len(texts))
+    large = np.diff(cuts[0], prepend=0) * np.diff(cuts[1], prepend=0) > LARGE
+    parts = []
+    for few in (True, False):
+        side = []
+        for k, name in ((0, "a"), (1, "b")):
+            own = np.flatnonzero(large[group[k]] != few)
+            t = pa.table({"g": group[k][own], name: flat[k].take(pa.array(own))})
+            side.append(t if few else t.group_by(["g", name], use_threads=False).aggregate([([], "count_all")]))
+        made = side[0].join(side[1], "g", join_type="inner", use_threads=False, left_suffix="_a", right_suffix="_b")
+        n = made.num_rows
+        times = np.ones(n, np.int64) if few else (
+            made.column("count_all_a").to_numpy() * made.column("count_all_b").to_numpy()
+        )
+        pair = made.column("a").to_numpy().astype(np.int64) * tok.sizes[1] + made.column("b").to_numpy()
+        where = doc_of_group[made.column("g").to_numpy()]
+        parts.append(pa.table({"code": where * (tok.sizes[0] * tok.sizes[1]) + pair, "n": times}))
+    found = pa.concat_tables(parts).group_by("code", use_threads=False).aggregate([("n", "sum")])
+    found = found.sort_by("code")
+    where, pair = np.divmod(found.column("code").to_numpy(), tok.sizes[0] * tok.sizes[1])
+    links = pa.table({"doc": where, "pair": pair, "links": found.column("n_sum")})
+    n_links = np.bincount(where, found.column("n_sum").to_numpy(), minlength=len(texts))
+    sides = [_joined(flat[k].cast(pa.string()), cuts[k], ",") for k in (0, 1)]
     both = pc.binary_join_element_wise(*sides, "|")
     lines = _joined(both, np.cumsum(n_groups), ";").to_pylist()
     digests = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in lines]
     numbers = {
-        "n_a": n[0], "n_b": n[1], "n_groups": n_groups,
+        "n_a": np.diff(lists[0].offsets), "n_b": np.diff(lists[1].offsets), "n_groups": n_groups,
         "n_links": n_links.astype(np.int64), "groups_sha256": digests,
     }
-    return numbers, links, tokens
+    return numbers, links
 
 
 def aligned(
@@ -247,20 +255,14 @@ def aligned(
             n = batch.num_rows
             if not n:
                 continue
-            numbers, links, _ = align(batch.column(1).to_pylist(), tok)
-            order = links.sort_by("doc")
-            code = pc.add(
-                pc.shift_left(order.column("a").cast(pa.int64()), pa.scalar(32, pa.int64())),
-                order.column("b").cast(pa.int64()),
-            )
-            table = pa.table({"doc": order.column("doc"), "code": code})
-            counted = table.group_by("code", use_threads=False).aggregate([([], "count_all")])
-            place = pc.index_in(code, counted.column("code").combine_chunks())
-            per = np.bincount(order.column("doc").to_numpy(), minlength=n)
+            numbers, links = align(batch.column(1).to_pylist(), tok)
+            counted = links.group_by("pair", use_threads=False).aggregate([([], "count_all")])
+            place = pc.index_in(links.column("pair"), counted.column("pair").combine_chunks())
+            per = np.bincount(links.column("doc").to_numpy(), minlength=n)
             offsets = pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32())
             lists = [
                 pa.ListArray.from_arrays(offsets, _one(x.cast(pa.int32())))
-                for x in (place, order.column("links"))
+                for x in (place, links.column("links"))
             ]
             chunks = pa.array(np.full(n, chunk), pa.int64())
             none = pa.nulls(n, pa.list_(pa.int32()))
@@ -271,8 +273,7 @@ def aligned(
             made = pa.RecordBatch.from_arrays(docs_of, names=names)
             types = made.schema
             yield made
-            codes = counted.column("code").to_numpy()
-            pairs = [codes >> 32, codes & 0xFFFFFFFF, counted.column("count_all").to_numpy()]
+            pairs = [*np.divmod(counted.column("pair").to_numpy(), tok.sizes[1]), counted.column("count_all").to_numpy()]
             whole = {"chunk": pa.array([chunk], pa.int64())}
             for c, v in zip(("a", "b", "held"), pairs):
                 ends = pa.array([0, len(v)], pa.int32())
@@ -281,6 +282,8 @@ def aligned(
                 [whole.get(f.name, pa.nulls(1, f.type)) for f in types], names=names
             )
             chunk += 1
+            del numbers, links, counted, place, lists, docs_of, made
+            pa.default_memory_pool().release_unused()
 
     stored = materialise(source.mapInArrow(run, shape), "alignment")
     pairs = stored.where("a is not null").select(

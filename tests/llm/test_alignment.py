@@ -113,11 +113,9 @@ def tok():
 def test_words_and_whole_texts_give_the_same_ids(spark, tok):
     texts = [r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").collect()]
     texts = [t for t in texts + NASTY if t]
-    for whole, by_word in zip(tok._encode(texts), tok.encode(texts)):
-        assert [list(x) for x in whole] == [list(x) for x in by_word]
+    assert list(tok._encode(texts)) == tok.encode(texts)
 
 
 def test_links_of_a_group_are_counted_not_listed(tok):
-    numbers, links, tokens = align(["="*5001 + "😀" * 999], tok)
-    assert links.num_rows < 100 and numbers["n_links"][0] == sum(links.column("links").to_pylist())
-    assert [t.num_rows for t in tokens] == [numbers["n_a"][0], numbers["n_b"][0]]
+    numbers, links = align(["=" * 5001 + "😀" * 999], tok)
+    assert links.num_rows < 100 < sum(links.column("links").to_pylist()) == numbers["n_links"][0]

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from array import array
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, fields
 from functools import lru_cache
 from itertools import chain
 
@@ -18,16 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise
-from .common import bound_batches, groups, with_fields
+from .common import bound_batches, with_fields
 
 #: Megabytes of text per chunk: the unit whose pairs are counted together.
 CHUNK_MB = 3
 #: Groups of more links than this count their ids before they are joined.
 LARGE = 64
-#: Words whose ids a worker keeps; bounds memory only.
+#: Words that a worker keeps aligned; bounds memory only.
 KEPT = 1 << 18
-#: A text in which some space follows another white space, or stands at an end.
-UNEVEN = re.compile(r"\s |^ | $")
 DOC = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string"}
 
 
@@ -40,14 +39,14 @@ def _byte_of() -> dict[str, int]:
 
 
 class Tokenizers:
-    """Both tokenizers, the bytes of their tokens, and a bounded memo of words.
+    """Both tokenizers and the bytes of their tokens.
 
-    No piece of either vocabulary joins a space to what stands before it, and the split rules
-    of the first never do.  So where spaces stand alone, a text is encoded word by word, and
-    words seen before come from the memo.  Other texts are encoded whole.
+    ``by_word``: no piece of the second vocabulary joins a space to what stands before it.
+    The split rules of the first never do.
     """
 
     def __init__(self, byte_level: bytes, pieces: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -66,41 +65,17 @@ class Tokenizers:
         self.lengths = [pc.binary_length(x).cast(pa.int64()) for x in self.bytes]
         self.by_word = not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(len(b)))
         self.sizes = (len(a), len(b))
-        self.memo: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
-    def _encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+    def encode(self, texts: list[str]) -> tuple[pa.LargeListArray, pa.LargeListArray]:
+        """For each text the ids of " " + text by the first and of the text by the second."""
         a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         b = self.b.encode(texts, num_threads=1)
-        return ((array("i", x.ids).tobytes(), array("i", y).tobytes()) for x, y in zip(a, b))
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """For each text the ids of " " + text by the first and of the text by the second, as
-        the bytes of 32-bit numbers."""
-        out: list = [(b"", b"")] * len(texts)
-        even = [i for i, t in enumerate(texts) if self.by_word and t and not UNEVEN.search(t)]
-        words = [texts[i].split(" ") for i in even]
-        a, b = self.memo
-        if len(a) > KEPT:
-            a.clear(), b.clear()
-        new = list(set(chain.from_iterable(words)).difference(a))
-        for w, ids in zip(new, self._encode(new)):
-            a[w], b[w] = ids
-        for i, own in zip(even, words):
-            out[i] = b"".join(map(a.__getitem__, own)), b"".join(map(b.__getitem__, own))
-        rest = sorted({i for i, t in enumerate(texts) if t}.difference(even))
-        for i, ids in zip(rest, self._encode([texts[i] for i in rest])):
-            out[i] = ids
-        return out
+        return _lists([x.ids for x in a]), _lists(b)
 
 
-@lru_cache(maxsize=1)
-def _tokenizers(byte_level: bytes, pieces: bytes) -> Tokenizers:
-    return Tokenizers(byte_level, pieces)
-
-
-def _lists(ids: list[bytes]) -> pa.LargeListArray:
-    ends = np.cumsum([0, *map(len, ids)]) // 4
-    flat = np.frombuffer(b"".join(ids), np.int32)
+def _lists(ids: list[Sequence[int]]) -> pa.LargeListArray:
+    ends = np.cumsum([0, *map(len, ids)])
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
     return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat))
 
 
@@ -132,9 +107,32 @@ def _spelt(tokens: pa.LargeBinaryArray, lists: pa.LargeListArray) -> pa.LargeBin
     return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(starts), data])
 
 
-def align(texts: list[str | None], tok: Tokenizers) -> tuple[dict[str, np.ndarray], pa.Table]:
-    """Per text the numbers and the digest of DOC; and the links (doc, pair, links), one row
-    for each pair of ids of a text, a pair being a * (size of the second vocabulary) + b.
+@dataclass
+class Aligned:
+    """Alignments of texts, as columns: one row per text, and the links of all texts in order.
+
+    A pair is a * (size of the second vocabulary) + b.  ``spelt`` tells whether the tokens
+    give the bytes of the text; where not, the other columns are zero.
+    """
+
+    spelt: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_pairs: np.ndarray
+    lines: pa.Array
+    pair: np.ndarray
+    links: np.ndarray
+
+    def __add__(self, other: Aligned) -> Aligned:
+        def both(x, y):
+            return pa.concat_arrays([x, y]) if isinstance(x, pa.Array) else np.concatenate([x, y])
+
+        return Aligned(*(both(getattr(self, f.name), getattr(other, f.name)) for f in fields(self)))
+
+
+def align(texts: list[str], tok: Tokenizers) -> Aligned:
+    """Align the tokens of every text.
 
     Both id lists are flattened; parent indices and segmented sums of token bytes give each
     token its text and end.  A hash join on text and end finds the ends that both share, and
@@ -142,16 +140,16 @@ def align(texts: list[str | None], tok: Tokenizers) -> tuple[dict[str, np.ndarra
     tokens.  Where a group is large, occurrences of each id are counted first: it costs the
     product of its distinct ids, not of its tokens.
     """
-    ids = tok.encode([t or "" for t in texts])
-    lists = [_lists([own[k] for own in ids]) for k in (0, 1)]
+    lists = list(tok.encode(texts))
     want = pa.array([" " + t if t else "" for t in texts], pa.large_string()).cast(pa.large_binary())
     good = np.ones(len(texts), bool)
     for k in (0, 1):
         whole = _spelt(pc.take(tok.bytes[k], lists[k].flatten()), lists[k])
         good &= pc.equal(whole, want).to_numpy(zero_copy_only=False)
     if not good.all():
-        lists = [_lists([own[k] if g else b"" for own, g in zip(ids, good)]) for k in (0, 1)]
-    del ids, want
+        none = pa.scalar([], lists[0].type)
+        lists = [pc.if_else(pa.array(good), x, none) for x in lists]
+        lists = [pa.LargeListArray.from_arrays(np.cumsum([0, *pc.list_value_length(x).to_pylist()]), x.flatten()) for x in lists]
     flat = [x.flatten() for x in lists]
     doc = [pc.list_parent_indices(x) for x in lists]
     ends = []
@@ -166,39 +164,116 @@ def align(texts: list[str | None], tok: Tokenizers) -> tuple[dict[str, np.ndarra
         last[shared.column(f"at_{k}").to_numpy()] = True
         group.append(np.cumsum(last) - last)
         cuts.append(np.flatnonzero(last) + 1)
-    del ends, shared
     doc_of_group = doc[0].to_numpy()[cuts[0] - 1]
     n_groups = np.bincount(doc_of_group, minlength=len(texts))
     large = np.diff(cuts[0], prepend=0) * np.diff(cuts[1], prepend=0) > LARGE
-    parts = []
+    parts, all_pairs = [], tok.sizes[0] * tok.sizes[1]
     for few in (True, False):
         side = []
         for k, name in ((0, "a"), (1, "b")):
             own = np.flatnonzero(large[group[k]] != few)
-            t = pa.table({"g": group[k][own], name: flat[k].take(pa.array(own))})
-            side.append(t if few else t.group_by(["g", name], use_threads=False).aggregate([([], "count_all")]))
-        made = side[0].join(side[1], "g", join_type="inner", use_threads=False, left_suffix="_a", right_suffix="_b")
-        n = made.num_rows
-        times = np.ones(n, np.int64) if few else (
-            made.column("count_all_a").to_numpy() * made.column("count_all_b").to_numpy()
-        )
-        pair = made.column("a").to_numpy().astype(np.int64) * tok.sizes[1] + made.column("b").to_numpy()
-        where = doc_of_group[made.column("g").to_numpy()]
-        parts.append(pa.table({"code": where * (tok.sizes[0] * tok.sizes[1]) + pair, "n": times}))
-    found = pa.concat_tables(parts).group_by("code", use_threads=False).aggregate([("n", "sum")])
-    found = found.sort_by("code")
-    where, pair = np.divmod(found.column("code").to_numpy(), tok.sizes[0] * tok.sizes[1])
-    links = pa.table({"doc": where, "pair": pair, "links": found.column("n_sum")})
-    n_links = np.bincount(where, found.column("n_sum").to_numpy(), minlength=len(texts))
+            t = pa.table({"g": group[k][own], name: flat[k].take(pa.array(own)), f"n_{name}": np.ones(len(own), np.int64)})
+            if not few:
+                t = t.group_by(["g", name], use_threads=False).aggregate([(f"n_{name}", "sum")])
+                t = t.rename_columns({f"n_{name}_sum": f"n_{name}"})
+            side.append(t)
+        made = side[0].join(side[1], "g", join_type="inner", use_threads=False)
+        pair = pc.add(pc.multiply(made.column("a").cast(pa.int64()), tok.sizes[1]), made.column("b").cast(pa.int64()))
+        code = doc_of_group[made.column("g").to_numpy()] * all_pairs + pair.to_numpy()
+        parts.append(pa.table({"code": code, "n": pc.multiply(made.column("n_a"), made.column("n_b"))}))
+    where, pair, links = _per_document(pa.concat_tables(parts), all_pairs)
     sides = [_joined(flat[k].cast(pa.string()), cuts[k], ",") for k in (0, 1)]
     both = pc.binary_join_element_wise(*sides, "|")
-    lines = _joined(both, np.cumsum(n_groups), ";").to_pylist()
-    digests = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in lines]
-    numbers = {
-        "n_a": np.diff(lists[0].offsets), "n_b": np.diff(lists[1].offsets), "n_groups": n_groups,
-        "n_links": n_links.astype(np.int64), "groups_sha256": digests,
-    }
-    return numbers, links
+    return Aligned(
+        good, np.diff(lists[0].offsets), np.diff(lists[1].offsets), n_groups,
+        np.bincount(where, minlength=len(texts)), _joined(both, np.cumsum(n_groups), ";"), pair, links,
+    )
+
+
+def _per_document(found: pa.Table, all_pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, pair, links) from rows (code, n): each pair of a document once, in order."""
+    found = found.group_by("code", use_threads=False).aggregate([("n", "sum")]).sort_by("code")
+    where, pair = np.divmod(found.column("code").to_numpy(), all_pairs)
+    return where, pair, found.column("n_sum").to_numpy()
+
+
+class Words:
+    """Words that have been aligned, each once, in one growing set of columns.
+
+    Where every space of a text stands alone between words, tokens of both kinds end with
+    each word, and the words are aligned as documents of their own.
+    """
+
+    def __init__(self, tok: Tokenizers):
+        self.tok, self.place = tok, {}
+        self.known = align([], tok)
+
+    def add(self, words: set[str]) -> None:
+        if len(self.place) > KEPT:
+            self.__init__(self.tok)
+        new = list(words.difference(self.place))
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        made = align(new, self.tok)
+        # A word that is empty or ends in white space shares that with the space behind it.
+        made.spelt &= np.fromiter((w != "" and not w[-1].isspace() for w in new), bool, len(new))
+        self.known += made
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all the ranges, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
+def align_documents(texts: list[str | None], words: Words) -> tuple[dict, pa.Table]:
+    """Per text the numbers and the digest of DOC; and the links (doc, pair, links) of all.
+
+    Texts are lists of words, gathered from those aligned; a text that is no such list, or
+    with a word that the tokens don't spell, is aligned as a whole.
+    """
+    n, tok = len(texts), words.tok
+    split = [t.split(" ") if t and tok.by_word else [] for t in texts]
+    missing = set(chain.from_iterable(split))
+    words.add(missing)
+    sizes = np.fromiter(map(len, split), np.int64, n)
+    at = np.fromiter(map(words.place.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+    known = words.known
+    doc = np.repeat(np.arange(n), sizes)
+    whole = np.bincount(doc[~known.spelt[at]], minlength=n) > 0
+    whole |= np.fromiter((bool(t) and not tok.by_word for t in texts), bool, n)
+    even = ~whole[doc]
+    at, doc = at[even], doc[even]
+    own = np.flatnonzero(whole)
+    rest = align([texts[i] for i in own], tok)
+
+    first = np.cumsum(known.n_pairs) - known.n_pairs
+    of_word = known.n_pairs[at]
+    picked = _ranges(first[at], of_word)
+    all_pairs = tok.sizes[0] * tok.sizes[1]
+    code = np.concatenate([
+        np.repeat(doc, of_word) * all_pairs + known.pair[picked],
+        np.repeat(own, rest.n_pairs) * all_pairs + rest.pair,
+    ])
+    where, pair, links = _per_document(
+        pa.table({"code": code, "n": np.concatenate([known.links[picked], rest.links])}), all_pairs
+    )
+    numbers = {}
+    for c in ("n_a", "n_b", "n_groups"):
+        total = np.bincount(doc, getattr(known, c)[at], minlength=n).astype(np.int64)
+        total[own] = getattr(rest, c)
+        numbers[c] = total
+    numbers["n_links"] = np.bincount(where, links, minlength=n).astype(np.int64)
+    ends = np.cumsum(np.bincount(doc, minlength=n))
+    lines = _joined(known.lines.take(pa.array(at)), ends, ";").to_pylist()
+    for i, line in zip(own, rest.lines.to_pylist()):
+        lines[i] = line
+    numbers["groups_sha256"] = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in lines]
+    return numbers, pa.table({"doc": where, "pair": pair, "links": links})
+
+
+@lru_cache(maxsize=1)
+def _words(byte_level: bytes, pieces: bytes) -> Words:
+    return Words(Tokenizers(byte_level, pieces))
 
 
 def aligned(
@@ -248,14 +323,14 @@ def aligned(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizers(files[0].value, files[1].value)
+        words = _words(files[0].value, files[1].value)
         types = pa.schema([])
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            numbers, links = align(batch.column(1).to_pylist(), tok)
+            numbers, links = align_documents(batch.column(1).to_pylist(), words)
             counted = links.group_by("pair", use_threads=False).aggregate([([], "count_all")])
             place = pc.index_in(links.column("pair"), counted.column("pair").combine_chunks())
             per = np.bincount(links.column("doc").to_numpy(), minlength=n)
@@ -273,7 +348,7 @@ def aligned(
             made = pa.RecordBatch.from_arrays(docs_of, names=names)
             types = made.schema
             yield made
-            pairs = [*np.divmod(counted.column("pair").to_numpy(), tok.sizes[1]), counted.column("count_all").to_numpy()]
+            pairs = [*np.divmod(counted.column("pair").to_numpy(), words.tok.sizes[1]), counted.column("count_all").to_numpy()]
             whole = {"chunk": pa.array([chunk], pa.int64())}
             for c, v in zip(("a", "b", "held"), pairs):
                 ends = pa.array([0, len(v)], pa.int32())
@@ -293,37 +368,25 @@ def aligned(
     total = pairs.groupBy("a", "b").agg(F.sum("held").alias("docs"))
     total = materialise(total, "alignment-pairs")
     highest = total.groupBy("a").agg(F.max("docs").alias("highest"))
-    ranked = total.join(highest, "a").select("a", "b", "docs", (F.col("docs") == F.col("highest")).alias("best"))
+    ranked = total.join(highest, "a").select("a", "b", "docs", (F.col("docs") == F.col("highest")).cast("int").alias("best"))
     told = pairs.drop("held").join(ranked, ["a", "b"]).select("chunk", "place", "docs", "best")
-    numbers = [c for c in DOC]
-    left = told.select(
-        "chunk", F.lit(0).alias("kind"), "place", "docs", "best",
-        F.lit(None).cast(row["kept"].dataType).alias("kept"),
-        *(F.lit(None).cast(DOC[c]).alias(c) for c in numbers),
-        F.lit(None).cast("array<int>").alias("pair"), F.lit(None).cast("array<int>").alias("links"),
-    )
-    right = stored.where("a is null").select(
-        "chunk", F.lit(1), F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("boolean"),
-        "kept", *numbers, "pair", "links",
-    )
-    met = left.union(right).repartition("chunk").sortWithinPartitions("chunk", "kind", "place")
-    out = with_fields(row, **added)
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs_of = best = np.empty(0, np.int64)
-        for part in groups(batches, 2):
-            if part.column("kind")[0].as_py() == 0:
-                docs_of = part.column("docs").to_numpy()
-                best = part.column("best").to_numpy(zero_copy_only=False).astype(np.int64)
-                continue
-            pair, links = part.column("pair"), part.column("links")
-            at, n = pair.flatten().to_numpy(), links.flatten().to_numpy().astype(np.int64)
-            ends = np.cumsum(pc.list_value_length(pair).to_numpy())
-            sums = [_sums(v[at] * n, ends) if len(at) else np.zeros(len(pair), np.int64) for v in (best, docs_of)]
-            arrays = [part.column("kept"), *(part.column(c) for c in numbers), *map(pa.array, sums)]
-            yield pa.RecordBatch.from_arrays(arrays, names=out.names)
-
-    done = met.mapInArrow(look_up, out)
+    right = stored.where("a is null").select(F.col("chunk").alias("own"), "kept", *DOC, "pair", "links")
+    out = with_fields(T.StructType([stored.schema["kept"]]), **added)
+
+    def look_up(counts: pa.Table, rows: pa.Table) -> pa.Table:
+        """The counts of a chunk's pairs, taken by the links of its documents."""
+        pair, links = (_one(rows.column(c)) for c in ("pair", "links"))
+        at, n = pair.flatten().to_numpy(), links.flatten().to_numpy().astype(np.int64)
+        ends = np.cumsum(pc.list_value_length(pair).to_numpy())
+        arrays = [rows.column("kept"), *(rows.column(c) for c in DOC)]
+        for c in ("best", "docs"):
+            value = np.zeros(counts.num_rows, np.int64)
+            value[counts.column("place").to_numpy()] = counts.column(c).to_numpy()
+            arrays.append(pa.array(_sums(value[at] * n, ends)))
+        return pa.table(arrays, names=out.names)
+
+    met = told.groupBy("chunk").cogroup(right.groupBy("own"))
+    done = met.applyInArrow(look_up, out)
     return done.select(*(F.col(f"kept.`{c}`").alias(c) for c in keep), *added)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 import sentencepiece
-from stratiform.llm.alignment import Tokenizers, aligned, align
+from stratiform.llm.alignment import Tokenizers, Words, align, align_documents, aligned
 from tokenizers import Tokenizer, pre_tokenizers
 
 A, B = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -105,17 +105,22 @@ def test_hard_texts(spark):
 
 
 @pytest.fixture(scope="module")
-def tok():
+def words():
     with open(A, "rb") as a, open(B, "rb") as b:
-        return Tokenizers(a.read(), b.read())
+        return Words(Tokenizers(a.read(), b.read()))
 
 
-def test_words_and_whole_texts_give_the_same_ids(spark, tok):
+def test_words_and_whole_texts_align_alike(spark, words):
     texts = [r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").collect()]
-    texts = [t for t in texts + NASTY if t]
-    assert list(tok._encode(texts)) == tok.encode(texts)
-
-
-def test_links_of_a_group_are_counted_not_listed(tok):
-    numbers, links = align(["=" * 5001 + "😀" * 999], tok)
-    assert links.num_rows < 100 < sum(links.column("links").to_pylist()) == numbers["n_links"][0]
+    texts += [t for t in NASTY if t]
+    numbers, links = align_documents(texts, words)
+    whole = align(texts, words.tok)
+    for c in ("n_a", "n_b", "n_groups"):
+        assert numbers[c].tolist() == getattr(whole, c).tolist()
+    assert links.column("pair").to_pylist() == whole.pair.tolist()
+    assert links.column("links").to_pylist() == whole.links.tolist()
+
+
+def test_links_of_a_group_are_counted_not_listed(words):
+    got = align(["=" * 5001 + "😀" * 999], words.tok)
+    assert len(got.pair) < 100 < got.links.sum()

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
+
 # Ranking compares cosines rounded to this many digits, so equal vectors tie exactly.
 RANK_DIGITS = 9
 BM25_DIGITS = 12
@@ -43,7 +45,7 @@ def _nearest(query_ids, query_unit, item_ids, vectors, k: int) -> pd.DataFrame:
     return _best(query_ids, cos, item_ids, k)
 
 
-def _ranked(best: DataFrame, k: int) -> DataFrame:
+def ranked(best: DataFrame, k: int) -> DataFrame:
     """The k best per query out of the batches' best."""
     w = Window.partitionBy("_q").orderBy(F.desc("_c"), F.asc("_i"))
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -102,7 +104,7 @@ def vector_topk(
         return _nearest(list(a["_q"]), _unit(a["_v"]), b["_i"], b["_v"], k)
 
     near = left.cogroup(right).applyInPandas(meet, out)
-    return _ranked(near, k).select(
+    return ranked(near, k).select(
         F.col("_q").alias(query_id),
         "rank",
         F.col("_i").alias(item_id),
@@ -127,6 +129,33 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
 
 
+def counted(ws: Column) -> Column:
+    """The distinct words of an array with their frequencies: array of (t, tf).
+
+    Counted inside the row, along the sorted words; nothing is exploded.
+    """
+
+    def runs(w: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(w) - 1),
+            lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)),
+        )
+        return F.transform(F.array(starts), lambda s: pairs(w, s))[0]
+
+    def pairs(w: Column, s: Column) -> Column:
+        return F.transform(
+            s,
+            lambda i, j: F.struct(
+                F.get(w, i).alias("t"), (F.coalesce(F.get(s, j + 1), F.size(w)) - i).alias("tf")
+            ),
+        )
+
+    empty = F.array().cast("array<struct<t:string,tf:int>>")
+    # The transform over one element names the sorted array, so that it is made once.
+    found = F.transform(F.array(F.sort_array(ws)), runs)[0]
+    return F.when(F.size(ws) > 0, found).otherwise(empty)
+
+
 def bm25(
     docs: DataFrame,
     queries: DataFrame,
@@ -140,39 +169,42 @@ def bm25(
 ) -> DataFrame:
     """(query_id, rank, doc_id, score): the ``k`` best documents per query by BM25, exact.
 
-    One plan for any number of queries.  Words are exploded and kept where a query asks for
-    them; their frequencies per document are combined map-side, joined to the terms of the
-    queries (AQE splits a term that very many documents hold) and added up per query and
-    document.  The ``k`` best of each task go on to the last shuffle.  NULL texts are empty
-    documents.  Documents rank by their score to 12 digits, so that equal ones tie whatever
-    the order of the sum; the score shown has 6.
+    One plan for any number of queries.  The texts are read once: words are counted in the
+    row, and distinct words that a query asks for are written with their frequencies, beside
+    one row per document for the corpus figures.  They meet the terms of the queries (AQE
+    splits a term that very many documents hold) and are added up per query and document.
+    The ``k`` best of each task go on to the last shuffle.  NULL texts are empty documents.
+    Documents rank by their score to 12 digits, so that equal ones tie whatever the order of
+    the sum; the score shown has 6.  For many rounds of queries, see :mod:`text_index`.
     """
+    none = F.array().cast("array<string>")
     bag = docs.select(
-        F.col(doc_id).alias("_i"), F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_w")
+        F.col(doc_id).alias("_i"), F.coalesce(words(F.col(text)), none).alias("_w")
     )
     terms = queries.select(
         F.col(query_id).alias("_q"), F.explode(F.array_distinct(words(F.col(text)))).alias("_t")
     )
-    corpus = bag.agg(
-        F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("_w")).alias("len"))
-    ).scalar()
-    tf = (
-        bag.select("_i", F.size("_w").alias("_len"), F.explode("_w").alias("_t"))
-        .join(terms.select("_t").distinct(), "_t", "left_semi")
-        .groupBy("_i", "_len", "_t")
-        .agg(F.count(F.lit(1)).alias("_tf"))
-    )
-    held = tf.groupBy("_t").agg(F.count(F.lit(1)).alias("_df"))
+    # No word is empty, so the empty one stands for the document.
+    itself = F.array(F.struct(F.lit("").alias("t"), F.lit(0).alias("tf")))
+    asked = terms.select("_t").distinct().union(docs.sparkSession.createDataFrame([("",)], "_t string"))
+    each = bag.select(
+        "_i", F.size("_w").alias("_len"), F.explode(F.concat(itself, counted(F.col("_w")))).alias("_x")
+    ).select("_i", "_len", F.col("_x.t").alias("_t"), F.col("_x.tf").alias("_tf"))
+    # By document, so that scores are complete before they are shuffled again.
+    held = materialise(each.join(asked, "_t", "left_semi").repartition("_i"), "bm25")
+    corpus = held.where("_t = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("len")).first()
+    tf = held.where("_t <> ''")
+    found = tf.groupBy("_t").agg(F.count(F.lit(1)).alias("_df"))
     idf = F.log((corpus["n"] - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1)
-    norm = k1 * (1 - b + b * F.col("_len") / corpus["len"])
+    norm = k1 * (1 - b + b * F.col("_len") / (corpus["len"] or 1.0))
     weight = F.col("_tf") * (k1 + 1) / (F.col("_tf") + norm)
-    parts = tf.withColumn("_x", weight).join(
-        terms.join(held.select("_t", idf.alias("_idf")), "_t"), "_t"
-    )
+    # Written, so that its size is known and the frequencies are never the side broadcast.
+    weighted = materialise(terms.join(found.select("_t", idf.alias("_idf")), "_t"), "bm25-terms")
+    parts = tf.withColumn("_x", weight).join(weighted, "_t")
     scored = parts.groupBy("_q", "_i").agg(
         F.round(F.sum(F.col("_idf") * F.col("_x")), BM25_DIGITS).alias("_c")
     )
-    return _ranked(scored, k).select(
+    return ranked(scored, k).select(
         F.col("_q").alias(query_id), "rank", F.col("_i").alias(doc_id), F.round("_c", 6).alias("score")
     )
 

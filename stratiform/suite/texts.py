@@ -9,6 +9,7 @@ from ..functions.hashing import chunk_uid as uid_of
 from ..functions.hashing import row_hash
 from ..operators import retrieval as r
 from ..operators import text as tx
+from ..operators import text_index as ix
 from ..operators.merge import upsert
 from . import Tables, query
 from .inputs import plain
@@ -209,6 +210,25 @@ def bm25_joined(t: Tables) -> DataFrame:
     return r.bm25(t.documents, t.benchmark, 3, doc_id="doc_id", query_id="item_id", text="text")
 
 
+@query(f"WITH {_BM25} SELECT item_id, rank, doc_id, score FROM bm", headline=True)
+def bm25_index(t: Tables) -> DataFrame:
+    """From a stored index; most blocks of frequent words stay unread."""
+    path = t.scratch("index")
+    ix.create_index(t.documents, path, doc_id="doc_id", text="text")
+    return ix.search(t.spark, path, t.benchmark, 10, doc_id="doc_id", query_id="item_id", text="text").ranked
+
+
+@query(f"WITH {_BM25} SELECT item_id, rank, doc_id, score FROM bm WHERE rank <= 5")
+def bm25_upserted(t: Tables) -> DataFrame:
+    """Every second document is indexed with another text at first, and every third not at all."""
+    path, late, wrong = t.scratch("index"), F.col("doc_id") % 3 == 0, F.col("doc_id") % 2 == 0
+    at_first = F.when(wrong, F.reverse("text")).otherwise(F.col("text"))
+    first = t.documents.where(~late).withColumn("text", at_first)
+    ix.create_index(first, path, doc_id="doc_id", text="text")
+    ix.upsert_documents(t.documents.where(late | wrong), path, doc_id="doc_id", text="text")
+    return ix.search(t.spark, path, t.benchmark, 5, doc_id="doc_id", query_id="item_id", text="text").ranked
+
+
 @query(
     f"""WITH {_BM25}, other AS (SELECT item_id, doc_id,
   CAST(row_number() OVER (PARTITION BY item_id ORDER BY score, doc_id DESC) AS INTEGER) AS rank FROM bm),

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, with_fields
+from .common import bound_batches, free_name, with_fields
 
 #: Rank of a pair that does not merge.
 NONE = np.int32(2**31 - 1)
@@ -257,7 +257,7 @@ def encode(
     if ids:
         added["ids"] = "array<int>"
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    source = docs.select(*keep, F.col(text).alias("__text"))
+    source = docs.select(*keep, F.col(text).alias(free_name(keep, "__text")))
     schema = with_fields(T.StructType(source.schema.fields[:-1]), **added)
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
 

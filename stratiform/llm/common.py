@@ -32,6 +32,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(found, F.lit(0).cast("long"))
 
 
+def free_name(columns: Sequence[str], wanted: str) -> str:
+    """``wanted``, made longer until it clashes with no column (names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def with_fields(schema: T.StructType, **added: str) -> T.StructType:
     fields = list(schema.fields)
     fields += [T.StructField(n, T._parse_datatype_string(t)) for n, t in added.items()]

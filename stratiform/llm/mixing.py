@@ -135,11 +135,11 @@ def take(docs: DataFrame, plan: DataFrame, *, key: str = "doc_id", source: str =
     """
     own = [F.col(source), F.col(key), F.col("_digest")]
     p = plan.where("copies > 0").select(
-        F.xxhash64(*own).alias("__entry"), F.struct(*own).alias("__own"),
-        F.col("copies").alias("__copies"),
-    )
+        F.xxhash64(*own).alias("entry"), F.struct(*own).alias("own"), "copies"
+    )
     here = [F.col(source), F.col(key), digest(text)]
-    d = docs.select(*docs.columns, F.xxhash64(*here).alias("__mine"), F.struct(*here).alias("__it"))
-    both = d.join(p, (F.col("__mine") == F.col("__entry")) & F.col("__it").eqNullSafe(F.col("__own")))
-    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
-    return both.select(*docs.columns, copy.alias("__copy")).drop("__copy")
+    row = F.struct(*docs.columns).alias("doc")  # apart from the helper columns, whatever its names
+    d = docs.select(row, F.xxhash64(*here).alias("mine"), F.struct(*here).alias("it"))
+    both = d.join(p, (F.col("mine") == F.col("entry")) & F.col("it").eqNullSafe(F.col("own")))
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return both.select("doc", copy.alias("copy")).select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import bound_batches, groups, matrix
+from .common import bound_batches, groups, matrix, running_sums
 from .vector_duplicates import digest, unit
 from .vectors import dimension, usable
 
@@ -23,6 +23,8 @@ SAMPLE = 4096
 BLOCK = 4096
 #: Rows aimed at in a bucket; more projections are drawn for larger tables.
 BUCKET = 2048
+#: Products of unit vectors that are this near may be equal when added up in another order.
+ROUNDING = 1e-12
 
 
 def phi(x: float) -> float:
@@ -160,11 +162,15 @@ def nearest(
     rows = materialise(
         good.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", digest()), "ann-rows"
     )
-    same = rows.groupBy("digest").agg(F.min("row").alias("node"))
+    # Nodes are numbered by their smallest key, NULL last, so that a tie goes to the smaller node.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("head")
+    same = rows.groupBy("digest").agg(first).select("digest", "head.*")
+    same = running_sums(same, [F.col("none"), F.col("id"), F.col("row")], {"node": "*"}, "ann-order")
+    same = same.select("digest", "node", F.col("row").alias("head"))
     placed = rows.select("row", "id", "asks", "digest").join(same, "digest").drop("digest")
     placed = materialise(placed, "ann-placed")
-    heads = placed.where("row = node").select("node")
-    nodes = materialise(heads.join(rows.select(F.col("row").alias("node"), "v"), "node"), "ann-nodes")
+    heads = placed.where("row = head").select("node", "row")
+    nodes = materialise(heads.join(rows.select("row", "v"), "row").drop("row"), "ann-nodes")
     index = fit(nodes, k, size, tables, width, seed)
     asked = placed.where("asks").select("node").distinct().join(nodes, "node")
     shared = spark.sparkContext.broadcast(index)
@@ -212,9 +218,8 @@ def nearest(
         found = found.union(meet(all_cells, stored, sizes, asked, k))
 
     merged = found.groupBy("query", "node").agg(F.max("score").alias("score"))
-    # Nodes of equal score may have smaller keys than their node number tells: keep ties.
-    best = Window.partitionBy("query").orderBy(F.desc("score"))
-    merged = merged.withColumn("at", F.rank().over(best))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+    merged = merged.withColumn("at", F.row_number().over(best))
     merged = merged.where(F.col("at") <= k + 1).drop("at")
     own = Window.partitionBy("node").orderBy(F.col("id").asc_nulls_last(), "row")
     few = placed.select("node", "id", "row").withColumn("at", F.row_number().over(own))
@@ -250,9 +255,14 @@ def meet(visits: DataFrame, stored: DataFrame, sizes: DataFrame, asked: DataFram
                 some = q[s : s + 256]
                 dots = v[some] @ v[c].T
                 n = min(k + 1, len(c))
-                top = np.argpartition(-dots, n - 1, axis=1)[:, :n]
-                a, b = np.repeat(some, n), c[top.ravel()]
+                least = -np.partition(-dots, n - 1, axis=1)[:, n - 1 :  n]
+                a, b = np.nonzero(dots >= least - ROUNDING)  # with all that tie for the last place
+                a, b = some[a], c[b]
                 exact = np.einsum("ij,ij->i", v[a], v[b])  # in one order for every meeting
+                order = np.lexsort((node[b], -exact, a))
+                a, b, exact = a[order], b[order], exact[order]
+                at = np.arange(len(a)) - np.searchsorted(a, a)
+                a, b, exact = (x[at < n] for x in (a, b, exact))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node[a]), pa.array(node[b]), pa.array(exact)],
                     names=["query", "node", "score"],

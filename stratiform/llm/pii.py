@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 ROUNDS = 8
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -312,6 +314,7 @@ def pseudonymise(
     changed = F.when(may, with_value(found, rebuilt))
     none = F.when(F.col(text).isNotNull(), F.array().cast(nothing))
     keep = [c for c in docs.columns if c != found_as]
-    out = docs.select(*keep, changed.alias("__pii"))
-    kept = [F.coalesce("__pii.text", c).alias(c) if c == text else F.col(c) for c in keep]
-    return out.select(*kept, F.coalesce("__pii.pii", none).alias(found_as))
+    own = free_name(keep, "__pii")
+    out = docs.select(*keep, changed.alias(own))
+    kept = [F.coalesce(f"{own}.text", c).alias(c) if c == text else F.col(c) for c in keep]
+    return out.select(*kept, F.coalesce(f"{own}.pii", none).alias(found_as))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise
-from .common import bound_batches, with_fields
+from .common import bound_batches, free_name, with_fields
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Stems of inflected words: the first letters of a word, beside the word itself.
@@ -224,7 +224,7 @@ def score(
     bound_batches(spark)
     added = dict(zip(names, ("double", "double", "boolean")))
     keep = [c for c in docs.columns if c not in added]
-    source = docs.select(*keep, F.col(text).alias("__text"))
+    source = docs.select(*keep, F.col(text).alias(free_name(keep, "__text")))
     schema = with_fields(T.StructType(source.schema.fields[:-1]), **added)
     shared = spark.sparkContext.broadcast(model)
 

@@ -25,6 +25,8 @@ WIDE = 4096
 STRIP = 4096
 #: Members of a component in one block when its links are counted.
 BLOCK = 512
+#: Rounds of passes before what they can't tell apart is compared exactly.
+ROUNDS = 24
 #: Slack of single against double precision in the first look at a pair.
 SLACK = 1e-4
 
@@ -106,6 +108,7 @@ def near_vectors(
     threshold: float = 0.95,
     passes: int = 16,
     window: int = 64,
+    rounds: int = ROUNDS,
     seed: int = 7,
 ) -> DataFrame:
     """Groups of vectors whose cosine reaches ``threshold``, and each vector's links.
@@ -122,8 +125,9 @@ def near_vectors(
       and far less often within a dense region.
     * So the passes are measured: beside up to 4096 nodes drawn by hash a probe is planted at
       exactly the threshold, and rounds of ``passes`` follow until every probe has met its
-      node.  Where a first round, or the rounds to be expected, would cost more products than
-      comparing all nodes with all, that is done instead, in blocks, and nothing is missed.
+      node, whatever the number of vectors.  Where the share met so far tells that ``rounds``
+      rounds will not do (a cone of vectors nearly as close as the threshold, which no
+      projection tells apart), the exact way for the rest is to compare all nodes, in blocks.
     * Verified pairs of all passes are united.
     * A window can be narrower than a dense group.  So the links are counted exactly within
       every component, in blocks of pairs of blocks, of which only the counts come back.
@@ -153,7 +157,7 @@ def near_vectors(
     heads = placed.where("row = node").select("node", "weight", "least")
     nodes = materialise(heads.join(rows.select(F.col("row").alias("node"), "v"), "node"), "vectors-heads")
 
-    found = close_pairs(nodes, size, threshold, passes, window, seed)
+    found = close_pairs(nodes, size, threshold, passes, window, rounds, seed)
     joined = components(found, "vectors-union")
     counted = count_links(joined, nodes, threshold)
 
@@ -173,15 +177,13 @@ def near_vectors(
 
 
 def close_pairs(
-    nodes: DataFrame, size: int, threshold: float, passes: int, window: int, seed: int
+    nodes: DataFrame, size: int, threshold: float, passes: int, window: int, most: int, seed: int
 ) -> DataFrame:
-    """Links (a, b) that connect the nodes: by passes until all probes are met, or of all pairs."""
+    """Links (a, b) that connect the nodes: by rounds of passes until all probes are met; of all
+    pairs if more than ``most`` rounds are to be expected."""
     n = nodes.count()
     agree = 1 - math.acos(min(max(threshold, 0.0), 1 - 1e-9)) / math.pi
     bits = max(BITS, math.ceil(math.log(max(n / window, 1)) / -math.log(agree)))
-    cost = passes * (bits + 2 * window)  # products per node and round
-    if cost >= n / 2:
-        return all_pairs(nodes, n, threshold)
     rng = np.random.default_rng(seed)
     probes = planted(nodes, n, size, threshold, rng)
     total = probes.count()
@@ -199,7 +201,7 @@ def close_pairs(
             return found
         # If every round misses the same share, so many are needed in all.
         rest = rounds * math.log(total) / math.log(total / missed) if met else math.inf
-        if max(rest, rounds + 1) * cost >= n / 2:
+        if max(rest, rounds + 1) > most:
             return all_pairs(nodes, n, threshold)
 
 

@@ -110,6 +110,18 @@ def test_shards_are_the_smallest_possible(spark):
     assert max(fullest.values()) == best
 
 
+def test_shards_are_even_beside_a_wide_text(spark):
+    rng = random.Random(4)
+    rows = [(i, f"{i:04d}" + "x" * rng.randrange(160)) for i in range(800)] + [(900, "hot" * 10_000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    size = collections.Counter()
+    for r in got:
+        size[r["_shard"]] += r["_size"]
+    rest = sorted(size.values())[:-1]
+    assert len(size) == 8 and max(size.values()) == 30_001
+    assert max(rest) < 1.5 * min(rest)
+
+
 def test_signatures_are_those_of_the_definition():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 3, 30, 200)]
@@ -127,6 +139,21 @@ def test_signatures_are_those_of_the_definition():
         assert signature.tolist() == want
 
 
+@pytest.mark.parametrize("n", [60, 2000])
+def test_small_tables_take_the_passes_too(spark, monkeypatch, n):
+    calls = collections.Counter()
+    for name in ("sweep", "all_pairs"):
+        whole = getattr(dup, name)
+        monkeypatch.setattr(dup, name, lambda *a, f=whole, c=name: (calls.update([c]), f(*a))[1])
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((n, 24))
+    v[n // 2 :] = v[: n - n // 2] + 0.05 * rng.standard_normal((n - n // 2, 24))
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in dup.near_vectors(frame).collect()}
+    assert got == {i: i % (n // 2) for i in range(n)}
+    assert calls["sweep"] >= 1 and not calls["all_pairs"]
+
+
 @pytest.mark.parametrize("passes", [16, 1])
 def test_lone_pairs_in_a_dense_cone_are_found(spark, passes):
     """Two thirds of the vectors lie at cosine 0.93 to each other, which is no link; 60 have a twin."""

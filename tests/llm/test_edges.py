@@ -16,6 +16,8 @@ from stratiform.session import scratch_path
 CLASH = {
     "size": 1, "target": 2, "copies": 3, "key": 4, "row": 5, "node": 6, "n": 7, "taken": 8,
     "severity": 9, "rejected": 10, "pii": 11, "ids": 12, "n_tokens": 13, "shard": 14, "bucket": 15,
+    "__text": 30, "__pii": 31, "__copies": 32, "__range": 33, "_size": 34, "_start": 35, "_row": 36, "_group": 37,
+    "group": 38, "start": 39, "own": 40, "doc": 41, "copy": 42, "crc32": 43,
     "kept": 16, "component_id": 17, "first": 18, "held_out": 19, "root": 20, "digest": 21,
 }
 LONG = "word other third " * 30_000
@@ -233,6 +235,14 @@ def test_neighbours(vectors):
     assert neighbours.nearest(vectors.where("vec_id < 50")).count() == 0
 
 
+def test_ties_go_to_the_smaller_key(spark):
+    """More scaled copies of one vector than are asked for; a power of two changes no cosine."""
+    rows = [(i, [2.0 ** (i % 37 - 18), 0.0, 2.0 ** (i % 37 - 18)]) for i in range(1, 41)]
+    rows += [(50, [1.0, 0.0, 1.0]), (60, [1.0, 0.5, 1.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>").repartition(5))
+    assert [r["vec_id"] for r in got.orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
 def test_stages(spark, docs, none):
     folder = scratch_path(spark, "test-pipeline")
     labels = spark.createDataFrame([(1, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")

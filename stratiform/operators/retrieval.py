@@ -20,13 +20,13 @@ QUERY_BLOCK, ITEM_SHARD = 512, 16_384
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
-def _unit(vectors) -> np.ndarray:
+def unit_rows(vectors) -> np.ndarray:
     m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _best(query_ids, scores: np.ndarray, item_ids, k: int) -> pd.DataFrame:
+def best_of(query_ids, scores: np.ndarray, item_ids, k: int) -> pd.DataFrame:
     """The k best items of a batch for every query."""
     ids = np.asarray(item_ids)
     parts = []
@@ -41,8 +41,8 @@ def _best(query_ids, scores: np.ndarray, item_ids, k: int) -> pd.DataFrame:
 
 
 def _nearest(query_ids, query_unit, item_ids, vectors, k: int) -> pd.DataFrame:
-    cos = np.round(query_unit @ _unit(vectors).T, RANK_DIGITS)
-    return _best(query_ids, cos, item_ids, k)
+    cos = np.round(query_unit @ unit_rows(vectors).T, RANK_DIGITS)
+    return best_of(query_ids, cos, item_ids, k)
 
 
 def ranked(best: DataFrame, k: int) -> DataFrame:
@@ -51,7 +51,7 @@ def ranked(best: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _triples(query_type: T.DataType, item_type: T.DataType) -> T.StructType:
+def triples(query_type: T.DataType, item_type: T.DataType) -> T.StructType:
     return T.StructType(
         [
             T.StructField("_q", query_type),
@@ -83,7 +83,7 @@ def vector_topk(
     q = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_v"))
     i = items.select(F.col(item_id).alias("_i"), F.col(vector).alias("_v"))
     q, i = (df.filter(F.col("_v").isNotNull()) for df in (q, i))
-    out = _triples(q.schema["_q"].dataType, i.schema["_i"].dataType)
+    out = triples(q.schema["_q"].dataType, i.schema["_i"].dataType)
     blocks = max(1, -(-q.count() // QUERY_BLOCK))
     shards = max(1, -(-i.count() // ITEM_SHARD))
 
@@ -101,7 +101,7 @@ def vector_topk(
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"_q": a["_q"][:0], "_i": b["_i"][:0], "_c": []})
-        return _nearest(list(a["_q"]), _unit(a["_v"]), b["_i"], b["_v"], k)
+        return _nearest(list(a["_q"]), unit_rows(a["_v"]), b["_i"], b["_v"], k)
 
     near = left.cogroup(right).applyInPandas(meet, out)
     return ranked(near, k).select(

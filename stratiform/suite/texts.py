@@ -10,6 +10,7 @@ from ..functions.hashing import row_hash
 from ..operators import retrieval as r
 from ..operators import text as tx
 from ..operators import text_index as ix
+from ..operators import vector_cells as vc
 from ..operators.merge import upsert
 from . import Tables, query
 from .inputs import plain
@@ -152,6 +153,16 @@ def vector_topk(t: Tables) -> DataFrame:
     )
 
 
+@query(f"WITH {_TOPK} SELECT label, rank, vec_id, round(greatest(0.0, cos), 3) AS score FROM topk")
+def vector_topk_cells(t: Tables) -> DataFrame:
+    """From vectors laid out by cells; a query visits those whose bound reaches its k-th score."""
+    path = t.scratch("cells")
+    vc.create_cells(t.embeddings, path, item_id="vec_id", vector="embedding")
+    return vc.search_cells(
+        t.spark, path, _centroids(t), 10, query_id="label", item_id="vec_id", vector="embedding"
+    ).ranked
+
+
 @query(
     f"""WITH {_TOPK} SELECT label, rank, vec_id, round(greatest(0.0, cos), 3) AS score FROM (
   SELECT label, vec_id, cos, CAST(row_number() OVER (PARTITION BY label ORDER BY cos DESC, vec_id) AS INTEGER) AS rank

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -128,36 +127,72 @@ def join_keys(catalog: DataFrame) -> DataFrame:
     )
 
 
-def key_uses(tables: Mapping[str, DataFrame], suffix: str = "_id") -> DataFrame | None:
-    """(join_key, table_name, most): for each shared key the most rows of one value."""
-    uses = Counter(c for df in tables.values() for c in df.columns if c.endswith(suffix))
-    parts = []
+def key_overlaps(tables: Mapping[str, DataFrame], suffix: str = "_id") -> DataFrame | None:
+    """(join_key, table_name, other, most, keys, shared, other_most, other_keys), for each pair
+    of tables that have a key column in common, both ways.
+
+    ``most`` is the largest number of rows of one value, ``keys`` the number of values, and
+    ``shared`` that of the values which both hold.  Each key column is read once: all tables
+    of a key are counted in one aggregate by value, from which every pair is read off.
+    """
+    uses: dict[str, list[str]] = {}
     for table, df in tables.items():
-        for key in df.columns:
-            if uses[key] > 1:
-                rows = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-                most = rows.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))
-                parts.append(most.select(F.lit(key).alias("join_key"), F.lit(table).alias("table_name"), "most"))
+        for c in df.columns:
+            if c.endswith(suffix):
+                uses.setdefault(c, []).append(table)
+    parts = []
+    for key, own in uses.items():
+        if len(own) < 2:
+            continue
+        values = [
+            tables[t].select(F.col(key).alias("k"), F.lit(i).alias("i")).filter("k IS NOT NULL")
+            for i, t in enumerate(own)
+        ]
+        at = range(len(own))
+        held = reduce(DataFrame.unionByName, values).groupBy("k").agg(
+            *[F.count_if(F.col("i") == i).alias(f"n{i}") for i in at]
+        )
+        pairs = [(i, j) for i in at for j in at if i < j]
+        one = held.agg(
+            *[F.coalesce(F.max(f"n{i}"), F.lit(0)).alias(f"m{i}") for i in at],
+            *[F.count_if(F.col(f"n{i}") > 0).alias(f"c{i}") for i in at],
+            *[F.count_if((F.col(f"n{i}") > 0) & (F.col(f"n{j}") > 0)).alias(f"b{i}_{j}") for i, j in pairs],
+        )
+        rows = [
+            F.struct(
+                F.lit(key).alias("join_key"), F.lit(own[i]).alias("table_name"), F.lit(own[j]).alias("other"),
+                F.col(f"m{i}").alias("most"), F.col(f"c{i}").alias("keys"),
+                F.col(f"b{min(i, j)}_{max(i, j)}").alias("shared"),
+                F.col(f"m{j}").alias("other_most"), F.col(f"c{j}").alias("other_keys"),
+            )
+            for i in at
+            for j in at
+            if i != j
+        ]
+        parts.append(one.select(F.inline(F.array(*rows))))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
+def _edges(overlaps: DataFrame, suffix: str) -> DataFrame:
+    key = F.col("join_key")
+    named = F.contains("table_name", F.substring(key, F.lit(1), F.length(key) - len(suffix)))
+    unique = overlaps.filter("most <= 1").withColumn("named", named)
+    w = Window.partitionBy("join_key")  # a few rows per key: pairs of tables
+    chosen = unique.withColumn("any_named", F.max("named").over(w))
+    return chosen.filter(F.col("named") | ~F.col("any_named"))
+
+
 def relationships(tables: Mapping[str, DataFrame], suffix: str = "_id") -> DataFrame | None:
     """(from_table, to_table, join_key): one edge per parent and child of a shared key.
 
     A parent holds every key at most once, as measured.  A small child may do so by chance;
     so where one of them is named after the key, the others are not taken for parents.
     """
-    uses = key_uses(tables, suffix)
-    if uses is None:
+    overlaps = key_overlaps(tables, suffix)
+    if overlaps is None:
         return None
-    key = F.col("join_key")
-    named = F.contains("table_name", F.substring(key, F.lit(1), F.length(key) - len(suffix)))
-    unique = uses.filter("most <= 1").select("join_key", F.col("table_name").alias("from_table"), named.alias("named"))
-    chosen = unique.groupBy("join_key").agg(F.max("named").alias("any_named"))
-    parents = unique.join(chosen, "join_key").filter(F.col("named") | ~F.col("any_named"))
-    children = uses.select("join_key", F.col("table_name").alias("to_table"))
-    edges = parents.join(children, "join_key").filter("from_table <> to_table")
-    return edges.select("from_table", "to_table", "join_key")
+    names = F.col("table_name").alias("from_table"), F.col("other").alias("to_table")
+    return _edges(overlaps, suffix).select(*names, "join_key")
 
 
 def join_map(tables: Mapping[str, DataFrame], suffix: str = "_id") -> DataFrame:
@@ -165,37 +200,21 @@ def join_map(tables: Mapping[str, DataFrame], suffix: str = "_id") -> DataFrame:
 
     ``containment`` is the share of the child's distinct keys that the parent has;
     ``cardinality`` follows from the largest number of child rows per key and from
-    parents without children.  One pre-aggregated join per edge.
+    parents without children.
     """
-    parts = []
-    edges = relationships(tables, suffix)
-    # As many rows as there are pairs of tables that share a key.
-    for parent, child, key in sorted(edges.collect()) if edges is not None else ():
-        p = tables[parent].select(key).filter(F.col(key).isNotNull()).distinct()
-        p = p.withColumn("_p", F.lit(1))
-        c = tables[child].filter(F.col(key).isNotNull()).groupBy(key)
-        both = p.join(c.agg(F.count(F.lit(1)).alias("_n")), key, "full_outer")
-        measured = both.agg(
-            F.count("_n").alias("child_keys"),
-            F.count_if(F.col("_n").isNotNull() & F.col("_p").isNotNull()).alias("_hit"),
-            F.count_if(F.col("_n").isNull()).alias("_childless"),
-            F.max("_n").alias("_most"),
-        )
-        low = F.when(F.col("_childless") > 0, "0..").otherwise("1..")
-        many = F.when(F.col("_most") > 1, "n").otherwise("1")
-        parts.append(
-            measured.select(
-                F.lit(parent).alias("from_table"),
-                F.lit(child).alias("to_table"),
-                F.lit(key).alias("join_key"),
-                "child_keys",
-                F.round(F.try_divide("_hit", "child_keys"), 6).alias("containment"),
-                F.concat(F.lit("1:"), low, many).alias("cardinality"),
-            )
-        )
-    if not parts:
+    overlaps = key_overlaps(tables, suffix)
+    if overlaps is None:
         raise ValueError("no two tables share a key column")
-    return reduce(DataFrame.unionByName, parts)
+    low = F.when(F.col("keys") > F.col("shared"), "0..").otherwise("1..")
+    many = F.when(F.col("other_most") > 1, "n").otherwise("1")
+    return _edges(overlaps, suffix).select(
+        F.col("table_name").alias("from_table"),
+        F.col("other").alias("to_table"),
+        "join_key",
+        F.col("other_keys").alias("child_keys"),
+        F.round(F.try_divide("shared", "other_keys"), 6).alias("containment"),
+        F.concat(F.lit("1:"), low, many).alias("cardinality"),
+    )
 
 
 def column_docs(profiles: DataFrame, layer: Column, keys: DataFrame | None = None) -> DataFrame:

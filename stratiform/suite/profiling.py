@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import profiling as p
+from ..operators import sketches as sk
 from ..operators.projections import proposed_type
 from ..sources.catalog import column_catalog as catalog_of
-from . import Tables, query
+from . import TABLES, Tables, query
 
 # Columns to profile per table, with their Spark types.
 PROFILED = {
@@ -190,3 +193,98 @@ def propose_types(t: Tables) -> DataFrame:
     named = t.events.select(F.concat(F.lower("event_type"), suffix).alias("column_name"))
     counted = named.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_rows"))
     return counted.withColumn("proposed", proposed_type(F.col("column_name")))
+
+
+# --- sketches -------------------------------------------------------------------------------
+
+#: Every column of the test tables but the vectors, by the family of its values.
+COLUMNS = {
+    "integer": {
+        "region": "r_regionkey", "nation": "n_nationkey n_regionkey", "customer": "c_custkey c_nationkey",
+        "supplier": "s_suppkey s_nationkey", "part": "p_partkey p_size", "orders": "o_orderkey o_custkey",
+        "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber", "events": "event_id user_id",
+        "documents": "doc_id n_chars", "embeddings": "vec_id label", "pages": "page_id", "benchmark": "item_id",
+        "labels": "doc_id quality toxic", "conversations": "conv_id turn",
+    },
+    "number": {
+        "customer": "c_acctbal", "supplier": "s_acctbal", "part": "p_retailprice", "orders": "o_totalprice",
+        "lineitem": "l_quantity l_extendedprice l_discount l_tax", "events": "value",
+    },
+    "text": {
+        "region": "r_name", "nation": "n_name", "customer": "c_name c_mktsegment", "supplier": "s_name",
+        "part": "p_name p_brand p_type", "orders": "o_orderstatus o_orderpriority",
+        "lineitem": "l_returnflag l_linestatus", "events": "event_type props",
+        "documents": "text lang source", "pages": "url html", "benchmark": "text", "conversations": "role text",
+    },
+    "time": {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"},
+}
+
+
+def _each(family: str) -> list[tuple[str, str]]:
+    return [(t, c) for t, cs in COLUMNS[family].items() for c in cs.split()]
+
+
+def _profiled(table: str, column: str, family: str) -> str:
+    number = {"text": "NULL", "time": f"epoch_us({column})"}.get(family, column)
+    low, high = (f"{fn}({column})" if family == "text" else "NULL" for fn in ("min", "max"))
+    return f"""SELECT '{table}' AS table_name, '{column}' AS column_name, '{family}' AS family, count(*) AS n_rows,
+  count({column}) AS n_filled, round(100.0 * (count(*) - count({column})) / count(*), 1) AS null_pct,
+  CAST({low} AS VARCHAR) AS low, CAST({high} AS VARCHAR) AS high,
+  CAST(min({number}) AS DOUBLE) AS low_number, CAST(max({number}) AS DOUBLE) AS high_number,
+  TRUE AS close FROM {table}"""
+
+
+@query(" UNION ALL ".join(_profiled(t, c, f) for f in COLUMNS for t, c in _each(f)))
+def profile_sketches(t: Tables) -> DataFrame:
+    """Profiles of all columns of all tables, stored for three loads each and merged.
+
+    ``close``: the sketched number of values lies within 4 % of the exact one, and the exact
+    median between the sketched quantiles 1.5 % of the rows to its sides.
+    """
+    path, exact = t.scratch("sketches"), []
+    for name in TABLES:
+        df = getattr(t, name).drop("embedding")
+        deal = F.pmod(F.xxhash64(*df.columns), F.lit(3))
+        for load in range(3):
+            sk.store(df.where(deal == load), path, name, str(load))
+        counts = [
+            F.struct(
+                F.lit(f.name).alias("column_name"), F.count_distinct(f.name).alias("exact"),
+                F.median(sk.number_of(F.col(f.name), sk.family(f.dataType))).alias("median"),
+            )
+            for f in df.schema.fields
+        ]
+        one = df.agg(F.array(*counts).alias("x")).select(F.lit(name).alias("table_name"), F.inline("x"))
+        exact.append(one)
+    found = sk.merged(sk.stored(t.spark, path))
+    keys = ["table_name", "column_name"]
+    told = sk.estimates(found, [0.485, 0.515]).join(reduce(DataFrame.unionByName, exact), keys)
+    told = told.join(found.select(*keys, "family", "low_number", "high_number"), keys)
+    near = F.abs(F.col("cardinality") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.04 * F.col("exact"))
+    around = F.col("median").between(F.get("quantiles", F.lit(0)), F.get("quantiles", F.lit(1)))
+    near = near & F.coalesce(around, F.lit(True))
+    text = F.col("family") == "text"
+    return told.select(
+        *keys, "family", "n_rows", "n_filled", "null_pct",
+        F.when(text, F.col("low")).alias("low"), F.when(text, F.col("high")).alias("high"),
+        "low_number", "high_number", near.alias("close"),
+    )
+
+
+def _included(family: str) -> str:
+    values = " UNION ALL ".join(
+        f"SELECT '{t}' AS t, '{c}' AS c, {c} AS v FROM {t} WHERE {c} IS NOT NULL" for t, c in _each(family)
+    )
+    return f"""SELECT * FROM (WITH v AS (SELECT t, c, v, count(*) AS n FROM ({values}) GROUP BY ALL),
+sizes AS (SELECT t, c, count(*) AS n_keys, max(n) AS most FROM v GROUP BY ALL),
+shared AS (SELECT a.t AS ct, a.c AS cc, b.t AS pt, b.c AS pc, count(*) AS n FROM v a JOIN v b USING (v)
+  WHERE (a.t, a.c) <> (b.t, b.c) GROUP BY ALL)
+SELECT ct AS child_table, cc AS child_column, pt AS parent_table, pc AS parent_column, s.n AS child_keys,
+  1.0::DOUBLE AS containment FROM shared s JOIN sizes x ON x.t = ct AND x.c = cc AND x.n_keys = s.n
+JOIN sizes y ON y.t = pt AND y.c = pc AND y.most = 1)"""
+
+
+@query(" UNION ALL ".join(_included(f) for f in COLUMNS))
+def inclusion_keys(t: Tables) -> DataFrame:
+    """Columns that lie within a unique column, found by content: no name takes part."""
+    return sk.inclusions({n: getattr(t, n).drop("embedding") for n in TABLES})

@@ -11,6 +11,7 @@ from ..functions.hashing import row_hash
 from ..operators import capture as cc
 from ..operators import drift as dr
 from ..operators import history as h
+from ..operators import intervals as iv
 from ..operators import merge as mg
 from ..operators.aggregates import union_counts
 from ..operators.governance import lineage_edges
@@ -346,3 +347,20 @@ def drift_rename(t: Tables) -> DataFrame:
 def distinct_edges(t: Tables) -> DataFrame:
     pairs = t.lineitem.select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"))
     return lineage_edges(pairs)
+
+
+@query(
+    """WITH l AS (SELECT *, l_shipdate + to_days(CAST(l_quantity AS INTEGER)) AS done FROM lineitem)
+SELECT p.l_orderkey, p.l_linenumber, count(*) AS n_open, CAST(sum(CAST(i.l_quantity AS BIGINT)) AS BIGINT) AS quantity
+FROM l p JOIN l i ON p.l_suppkey = i.l_suppkey AND i.l_shipdate <= p.l_shipdate AND p.l_shipdate < i.done
+GROUP BY ALL"""
+)
+def interval_join(t: Tables) -> DataFrame:
+    """Which deliveries of its supplier are under way when a line item ships; they overlap."""
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_quantity")
+    days = F.make_dt_interval(days=F.col("l_quantity").cast("int"))
+    spans = lines.select("l_suppkey", "l_shipdate", "l_quantity", (F.col("l_shipdate") + days).alias("done"))
+    met = iv.interval_join(lines, spans, "l_suppkey", "l_shipdate", "l_shipdate", "done")
+    return met.groupBy("point.l_orderkey", "point.l_linenumber").agg(
+        F.count(F.lit(1)).alias("n_open"), F.sum(F.col("interval.l_quantity").cast("long")).alias("quantity")
+    )

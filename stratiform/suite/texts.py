@@ -221,7 +221,7 @@ def bm25_joined(t: Tables) -> DataFrame:
     return r.bm25(t.documents, t.benchmark, 3, doc_id="doc_id", query_id="item_id", text="text")
 
 
-@query(f"WITH {_BM25} SELECT item_id, rank, doc_id, score FROM bm", headline=True)
+@query(f"WITH {_BM25} SELECT item_id, rank, doc_id, score FROM bm")
 def bm25_index(t: Tables) -> DataFrame:
     """From a stored index; most blocks of frequent words stay unread."""
     path = t.scratch("index")

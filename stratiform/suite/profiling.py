@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import profiling as p
 from ..operators import sketches as sk
 from ..operators.projections import proposed_type
+from ..session import materialise
 from ..sources.catalog import column_catalog as catalog_of
 from . import TABLES, Tables, query
 
@@ -241,24 +240,19 @@ def profile_sketches(t: Tables) -> DataFrame:
     ``close``: the sketched number of values lies within 4 % of the exact one, and the exact
     median between the sketched quantiles 1.5 % of the rows to its sides.
     """
-    path, exact = t.scratch("sketches"), []
-    for name in TABLES:
-        df = getattr(t, name).drop("embedding")
+    path = t.scratch("sketches")
+    tables = {name: getattr(t, name).drop("embedding") for name in TABLES}
+    for name, df in tables.items():
         deal = F.pmod(F.xxhash64(*df.columns), F.lit(3))
         for load in range(3):
             sk.store(df.where(deal == load), path, name, str(load))
-        counts = [
-            F.struct(
-                F.lit(f.name).alias("column_name"), F.count_distinct(f.name).alias("exact"),
-                F.median(sk.number_of(F.col(f.name), sk.family(f.dataType))).alias("median"),
-            )
-            for f in df.schema.fields
-        ]
-        one = df.agg(F.array(*counts).alias("x")).select(F.lit(name).alias("table_name"), F.inline("x"))
-        exact.append(one)
-    found = sk.merged(sk.stored(t.spark, path))
+    found = materialise(sk.merged(sk.stored(t.spark, path)), "sketches-merged")
     keys = ["table_name", "column_name"]
-    told = sk.estimates(found, [0.485, 0.515]).join(reduce(DataFrame.unionByName, exact), keys)
+    middle = sk.estimates(found, [0.49, 0.51]).where("quantiles is not null")
+    # One row per column; the exact median doesn't depend on where its search begins.
+    guesses = {(r[0], r[1]): tuple(r[2]) for r in middle.select(*keys, "quantiles").collect()}
+    exact = sk.distinct_counts(tables).withColumnRenamed("n", "exact").join(sk.medians(tables, guesses), keys, "left")
+    told = sk.estimates(found, [0.485, 0.515]).join(exact, keys)
     told = told.join(found.select(*keys, "family", "low_number", "high_number"), keys)
     near = F.abs(F.col("cardinality") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.04 * F.col("exact"))
     around = F.col("median").between(F.get("quantiles", F.lit(0)), F.get("quantiles", F.lit(1)))

@@ -75,3 +75,37 @@ def test_a_hot_key_is_spread(spark):
     assert iv.interval_join(points, spans, "k", "at", "since", "till").count() == spans.join(
         points.withColumnRenamed("at", "x").select("x"), (F.col("since") <= F.col("x")) & (F.col("x") < F.col("till"))
     ).count()
+
+
+@pytest.mark.parametrize("base", [1, 2, 5, 7])
+@pytest.mark.parametrize("first,last", [(0, 0), (5, 700), (-20, 20), (-513, 511), (100, iv.LAST_DAY)])
+def test_coarse_bins_reach_just_beyond_the_days(spark, first, last, base):
+    one = spark.range(1).select(F.explode(iv.cover(F.lit(first), F.lit(last), base)).alias("b")).select("b.*").collect()
+    spans = sorted((r["bin"] << (iv.BITS * r["level"]), (r["bin"] + 1) << (iv.BITS * r["level"])) for r in one)
+    width = 1 << (iv.BITS * base)
+    assert 0 <= first - spans[0][0] < width and 0 < spans[-1][1] - last <= width
+    assert all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and min(r["level"] for r in one) >= base
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_bins_follow_the_usual_length(spark, mixed):
+    """Intervals of some weeks aren't shuffled for each of their days, nor points per level."""
+    rng = random.Random(9)
+    points = [(i, rng.choice("ab"), day(rng.randrange(2000))) for i in range(800)]
+    spans = [(i, rng.choice("ab"), day(s := rng.randrange(2000)), day(s + rng.randrange(1, 51))) for i in range(800)]
+    spans += [(-1, "a", day(-4000), None), (-2, "b", day(3), day(1900))] * mixed
+    p = spark.createDataFrame(points, "i long, k string, at date")
+    s = spark.createDataFrame(spans, "i long, k string, since date, till date")
+    met = iv.interval_join(p, s, "k", "at", "since", "till")
+    got = met.collect()
+    assert sorted((r["point"]["i"], r["interval"]["i"]) for r in got) == plain(points, spans)
+
+    def sides(node):
+        name = node.getClass().getSimpleName()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        return below if name == "Join" else [x for b in below for x in sides(b)]
+
+    left, right = sides(met._jdf.queryExecution().optimizedPlan())
+    count = lambda x: spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, x).count()
+    assert count(left) <= (5 if mixed else 1) * len(points)
+    assert count(right) < 1.6 * len(spans) + 40 * mixed

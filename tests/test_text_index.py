@@ -1,12 +1,15 @@
 """The stored index against the exact ranking, and what it leaves unread."""
 
+import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from stratiform.operators import retrieval as r
 from stratiform.operators import text_index as ix
+from stratiform.session import materialise
 
 NAMES = {"doc_id": "doc_id", "text": "text"}
 RARE = [f"rare{i}" for i in range(400)]
@@ -107,3 +110,66 @@ def test_empty_index(spark, docs, queries, tmp_path):
     assert got.ranked.count() == 0
     ix.upsert_documents(docs.select("doc_id", "text").limit(3), path, **NAMES)
     assert ix.open_index(spark, path).n == 3
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """What is written on the way, by purpose."""
+    seen = {}
+    monkeypatch.setattr(ix, "materialise", lambda df, purpose: seen.update({purpose: df}) or materialise(df, purpose))
+    return seen
+
+
+def test_postings_are_stored_and_shuffled_once(spark, queries, path, written):
+    assert os.listdir(f"{path}/gen=0") == ["blocks"]  # no second copy of the words by document
+    ix.search(spark, path, queries, 3, doc_id="doc_id", query_id="q", text="text")
+    plan = written["search-early"]._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and not re.search(r"hashpartitioning\(_q#\w+, [a-z_]", plan)
+
+
+def test_documents_that_occur_twice(spark, rows, queries, tmp_path):
+    path = str(tmp_path / "i")
+    rng = random.Random(5)
+    some = [(i, some_text(rng)) for i in range(30)] + [(None, "the null")]
+    docs = spark.createDataFrame(some * 2, "doc_id long, text string").coalesce(1)
+    ix.create_index(docs, path, **NAMES)
+    got = ix.search(spark, path, queries, 8, doc_id="doc_id", query_id="q", text="text")
+    assert ix.open_index(spark, path).again and rows(got.ranked) == exact(docs, queries, 8, rows)
+
+
+def test_segments_that_go_on_in_the_next_batch(spark, rows, docs, queries, tmp_path):
+    path = str(tmp_path / "i")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        ix.create_index(docs, path, segment=64, **NAMES)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = ix.open_index(spark, path).read("bags").groupBy("segment").agg(F.count("doc").alias("n"), F.max("place").alias("p"))
+    assert sizes.where("n > 64 or p <> n - 1").isEmpty() and sizes.where("n = 64").count() > 20
+    got = ix.search(spark, path, queries, 5, doc_id="doc_id", query_id="q", text="text")
+    assert rows(got.ranked) == exact(docs, queries, 5, rows)
+
+
+def test_upserts_write_blocks_only(spark, rows, docs, queries, tmp_path, written):
+    path, now = str(tmp_path / "i"), docs.select("doc_id", "text")
+    ix.create_index(now.where("doc_id % 5 <> 0"), path, **NAMES)
+    rng = random.Random(4)
+    for load in (1, 2):
+        fresh = [(i, some_text(rng)) for i in range(load, 3000, 40)] + [(i, "w1 the") for i in range(0, 3000, 50)]
+        fresh = spark.createDataFrame(fresh, "doc_id long, text string")
+        before = now.where("doc_id % 5 <> 0") if load == 1 else now
+        now = before.join(fresh, "doc_id", "left_anti").union(fresh)
+        ix.upsert_documents(fresh, path, **NAMES)
+        assert os.listdir(f"{path}/gen={load}") == ["blocks"]
+    assert not any("terms" in df.columns or "text" in df.columns for df in written.values())
+    index = ix.open_index(spark, path)
+    blocks = index.read("blocks").where("bucket >= 0")
+    assert index.gen == 2 and blocks.where("n <> size(postings) or n = 0").isEmpty()
+    # The figures of blocks that lost documents are those of the ones left.
+    each = blocks.select("segment", "term", "most", "shortest", F.explode("postings").alias("p"))
+    each = each.select("*", F.expr(f"cast(p & {(1 << ix.PLACE) - 1} as int)").alias("place"), F.shiftright("p", ix.PLACE).alias("tf"))
+    figures = each.join(index.read("bags"), ["segment", "place"]).groupBy("segment", "term", "most", "shortest")
+    figures = figures.agg(F.max("tf").alias("a"), F.min("len").alias("b"))
+    assert figures.count() == blocks.count() and figures.where("a <> most or b <> shortest").isEmpty()
+    got = ix.search(spark, path, queries, 12, doc_id="doc_id", query_id="q", text="text")
+    assert rows(got.ranked) == exact(now, queries, 12, rows)
